@@ -189,10 +189,19 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
 _OPEN: dict[str, object] = {}
 
 
-def _bpe(shared) -> WordBpe:
-    if ("bpe", shared.id) not in _OPEN:
-        _OPEN[("bpe", shared.id)] = WordBpe(shared.value)
-    return _OPEN[("bpe", shared.id)]
+class Shared:
+    """A tokenizer file's text for all workers, each of which parses it once."""
+
+    def __init__(self, spark, path: str | None):
+        with open(path or vocabulary_path(), encoding="utf-8") as f:
+            text = f.read()
+        self.key, self.text = hashlib.sha1(text.encode()).hexdigest(), spark.sparkContext.broadcast(text)
+
+
+def _bpe(shared: Shared) -> WordBpe:
+    if shared.key not in _OPEN:
+        _OPEN[shared.key] = WordBpe(shared.text.value)
+    return _OPEN[shared.key]
 
 
 def _lexicon(name: str) -> Lexicon:
@@ -292,7 +301,7 @@ def frequent_words(docs: DataFrame, shared, text_col: str = "text", size: int =
 
 def publish_lexicon(docs: DataFrame, shared, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
     """Compile the lexicon of docs, send it to all workers; the name it has there."""
-    bpe = WordBpe(shared.value)
+    bpe = _bpe(shared)
     data = compile_lexicon({w.encode(): bpe.merge(w) for w in frequent_words(docs, shared, text_col, size)})
     folder, name = tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.bin"
     with open(os.path.join(folder, name), "wb") as f:
@@ -326,8 +335,7 @@ def _encode_batches(shared, name: str, columns: str):
 
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, path: str | None, size: int, columns: str, schema: str) -> DataFrame:
-    with open(path or vocabulary_path(), encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = Shared(docs.sparkSession, path)
     name = publish_lexicon(docs, shared, text_col, size)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -356,8 +364,7 @@ def _decode_batches(shared):
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """(id, decoded) for each row's ids; null ids decode to the empty text."""
-    with open(path or vocabulary_path(), encoding="utf-8") as f:
-        shared = rows.sparkSession.sparkContext.broadcast(f.read())
+    shared = Shared(rows.sparkSession, path)
     kind = rows.schema[id_col].dataType.simpleString()
     named = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return named.mapInArrow(_decode_batches(shared), f"id {kind}, decoded string").withColumnRenamed("id", id_col)

@@ -2,14 +2,15 @@
 
 A text is cut in lines: at line ends, after sentence ends, and, where a sentence is longer than `LONG` words, after
 words picked by their hash, so that a repeated passage is cut alike wherever it stands. Every three consecutive
-lines are a window. A window that occurred before, in the order of id, text hash and position, is a later
-occurrence; the positions that later occurrences cover are merged and removed. The first occurrence stays.
+lines are a window. Of a window that several documents have, the smallest id's stays, and inside a document the
+first; the positions that all other occurrences cover are merged and removed.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,51 +19,68 @@ from pyspark.sql import functions as F
 from barline.llm.common import fresh, raw
 
 WINDOW, MIN_WORDS, LONG, CUT = 3, 12, 24, 8
-_LINE = re.compile(rb"[^\n]*?(?:[.!?]+[ \t\r\n]+|\n|$)\s*", re.S)
+_END = re.compile(rb"[.!?\n](?:(?<=\n)\s*|[.!?]*\s+)")
 _WORD = re.compile(rb"\S+\s*")
 
 
 def lines_of(text: bytes) -> list[bytes]:
     """The lines of a text with what separates them; joined they are the text."""
-    out = []
-    for line in _LINE.findall(text):
+    out, start = [], 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        line = text[start:end]
         if line.count(b" ") < LONG:
             if line:
                 out.append(line)
-            continue
-        start = 0
-        for m in _WORD.finditer(line):
-            if xxhash.xxh32_intdigest(m[0].rstrip()) % CUT == 0:
-                out.append(line[start : m.end()])
-                start = m.end()
-        if start < len(line):
-            out.append(line[start:])
+        else:
+            for m in _WORD.finditer(text, start, end):
+                if m.end() == end or xxhash.xxh32_intdigest(m[0].rstrip().lower()) % CUT == 0:
+                    out.append(text[start : m.end()])
+                    start = m.end()
+        start = end
     return out
 
 
-def windows_of(lines: list[bytes], window: int = WINDOW, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(position, hash) of each window of at least min_words words; case and white space don't count."""
-    words = [x.lower().split() for x in lines]
-    keys, sizes, out = [b" ".join(w) for w in words], [len(w) for w in words], []
+def windows_of(texts: list[bytes], window: int = WINDOW, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """Of each window of at least min_words words: text, place, hash and place of the same window's first line before.
+
+    The last is -1 for the first such window of a text. Case and the white space between lines don't count.
+    """
+    hashes, words, of = [], [], []
     digest = xxhash.xxh64_intdigest
-    for i in range(len(lines) - window + 1):
-        if sum(sizes[i : i + window]) >= min_words:
-            out.append((i, digest(b"\n".join(keys[i : i + window]))))
-    return out
+    for k, text in enumerate(texts):
+        lines = lines_of(text.lower())
+        hashes += [digest(x.strip()) for x in lines]
+        words += [x.strip().count(b" ") + 1 for x in lines]
+        of += [k] * len(lines)
+    h, n, of = np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(of, dtype=np.int64)
+    size = max(0, len(h) - window + 1)
+    key, total = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64)
+    for i in range(window):
+        key = (key ^ h[i : i + size]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        total += n[i : i + size]
+    at = np.flatnonzero((total >= min_words) & (of[:size] == of[window - 1 :][:size]))
+    text, key, place = of[at], key[at], at - np.searchsorted(of, of[at])
+    order = np.lexsort((place, key, text))
+    text, key, place = text[order], key[order], place[order]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+    first = place[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else place
+    return text, place, key.view(np.int64), np.where(new, -1, first)
 
 
 def _window_batches(window: int, min_words: int):
+    """h, id, and the text's version, the covered span's start and length and whether the text had the window before."""
+
     def run(batches):
         for batch in batches:
-            rows, hashes, places = [], [], []
-            for k, text in enumerate(raw(batch, 2)):
-                for i, h in windows_of(lines_of(text), window, min_words) if text else ():
-                    rows.append(k)
-                    hashes.append(h - (1 << 64) if h >> 63 else h)
-                    places.append(i)
-            at = pa.array(rows, pa.int64())
-            cols = [pa.array(hashes, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "version", "place"])
+            text, place, key, first = windows_of([t or b"" for t in raw(batch, 2)], window, min_words)
+            version = batch.column(1).to_numpy()[text].astype(np.int64)
+            start = np.where(first < 0, place, np.maximum(place, first + window))
+            some = start < place + window
+            packed = (version << 32 | start << 8 | (place + window - start) << 1 | (first >= 0))[some]
+            cols = [pa.array(key[some]), batch.column(0).take(pa.array(text[some])), pa.array(packed)]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "packed"])
 
     return run
 
@@ -106,24 +124,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with later occurrences of repeated windows cut out of the text; other columns as they are.
 
     counted adds n_lines (before) and n_removed, and needs docs without columns of these names. Null texts stay null;
-    texts of fewer lines than a window are never changed; a text may become empty. Rows of equal id and text are one
-    document and have the same result. A null id comes last in the order. In a run of one line repeated, the first
-    window's lines stay.
+    texts of fewer lines than a window are never changed; a text may become empty. Rows of equal id are one document
+    to each other: what they share stays in each. Null ids come last, and windows that only they have stay in all of
+    them. In a run of one line repeated, the first window's lines stay.
     """
-    version, spans = fresh(docs, "version", "spans")
-    keyed = docs.withColumn(version, F.xxhash64(F.col(text_col)))
+    version, spans, of_id, of_version = fresh(docs, "version", "spans", "of_id", "of_version")
+    keyed = docs.withColumn(version, F.hash(F.col(text_col)))
     rows = keyed.select(F.col(id_col).alias("id"), F.col(version).alias("version"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_window_batches(window, min_words), f"h long, id {kind}, version long, place int")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "version", "place")
-    first = found.groupBy("h").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").drop("last")
-    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("version") == F.col("first.version"))
-    start = F.when(same, F.greatest("place", F.col("first.place") + window)).otherwise(F.col("place"))
-    later = found.join(first, "h").where(~(same & (F.col("place") == F.col("first.place"))))
-    span = later.select("id", "version", start.alias("s"), (F.col("place") + window).alias("e")).where("s < e")
-    covered = span.groupBy("id", "version").agg(F.collect_set(F.struct("s", "e")).alias(spans))
-    covered = covered.withColumnRenamed("id", "_covered_id").withColumnRenamed("version", "_covered_version")
-    ours = keyed.join(covered, F.col(id_col).eqNullSafe(F.col("_covered_id")) & (F.col(version) == F.col("_covered_version")), "left")
+    found = rows.mapInArrow(_window_batches(window, min_words), f"h long, id {kind}, packed long")
+    again = F.col("packed").bitwiseAND(1)
+    spread = found.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.count("id").alias("known"), F.max(again).alias("again"))
+    spread = spread.where("first <> last or (known > 0 and known < n) or again = 1").select("h", "first")
+    later = found.join(spread, "h").where((again == 1) | ~F.col("id").eqNullSafe(F.col("first")))
+    start = F.shiftright("packed", 8).bitwiseAND((1 << 24) - 1).cast("int")
+    length = F.shiftright("packed", 1).bitwiseAND(127).cast("int")
+    span = later.select(F.col("id").alias(of_id), F.shiftright("packed", 32).cast("int").alias(of_version), F.struct(start.alias("s"), (start + length).alias("e")).alias("span"))
+    covered = span.groupBy(of_id, of_version).agg(F.collect_set("span").alias(spans))
+    ours = keyed.join(covered, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(version) == F.col(of_version)), "left")
     ours = ours.select(*docs.columns, spans)
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long", "n_removed long"] * counted
     return ours.mapInArrow(_remove_batches(docs.columns.index(text_col), counted), ", ".join(types))

@@ -1,0 +1 @@
+"""Scalar expressions as Columns; all stay inside code generation."""

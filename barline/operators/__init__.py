@@ -1,0 +1 @@
+"""Operators over ticks and bars: DataFrame in, DataFrame out."""

@@ -1,11 +1,746 @@
-"""The registered queries of the market-data operators, with their SQL."""
+"""The registered queries of the market-data operators, with their SQL for DuckDB."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from barline.functions import scalars as S
+from barline.operators import bars as B
+from barline.operators import decision, export, routing, structure, supply, zones
+from barline.plans import inputs as I
+from barline.sources import readers, writers
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+_H1 = f"WITH {I.clock_sql()}"
+_OUT = "symbol, timeframe, id, epoch_ms(datetime) AS at, open_price, high_price, low_price, close_price, round(volume, 4) AS volume, open_interest, round(turnover, 4) AS turnover"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _bars(df: DataFrame) -> DataFrame:
+    return df.select("symbol", "timeframe", "id", F.unix_millis("datetime").alias("at"), "open_price", "high_price", "low_price", "close_price", F.round("volume", 4).alias("volume"), "open_interest", F.round("turnover", 4).alias("turnover"))
+
+
+# --- bars -----------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {I.M1}\nSELECT symbol, event_id, round(volume_delta, 4) AS volume_delta, round(turnover_delta, 4) AS turnover_delta FROM deltas")
+def tick_delta(spark: SparkSession, sf: str) -> DataFrame:
+    return B.tick_deltas(I.ticks(spark, sf)).select("symbol", "event_id", *[F.round(c, 4).alias(c) for c in ("volume_delta", "turnover_delta")])
+
+
+@query(f"WITH {I.M1}\nSELECT {_OUT} FROM m1")
+def tick_to_m1(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(I.m1(spark, sf))
+
+
+@query(f"WITH {I.M1}\nSELECT {_OUT} FROM m1 QUALIFY id < max(id) OVER (PARTITION BY symbol)")
+def tick_to_m1_closed(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(B.tick_to_m1(I.ticks(spark, sf), flush=False))
+
+
+def _count_window(label: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _bars(B.count_window(I.m1(spark, sf), label))
+
+    run.__name__ = f"m1_to_{label}_count"
+    query(f"WITH {I.M1},\n{I.count_sql(label, S.MINUTES[label])}\nSELECT {_OUT} FROM {label}")(run)
+
+
+for _label in ("m5", "m15", "h1", "d1"):
+    _count_window(_label)
+
+
+@query(f"WITH {I.M1},\n{I.count_sql('m5', 5)},\n{I.count_sql('h1', 60)}\nSELECT {_OUT} FROM m1 UNION ALL SELECT {_OUT} FROM m5 UNION ALL SELECT {_OUT} FROM h1")
+def fan_out_timeframes(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(B.fan_out(I.m1(spark, sf), ["1m", "5m", "1h"]))
+
+
+@query(f"{_H1}\nSELECT {_OUT} FROM h1")
+def bars_1h(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(I.clock(spark, sf))
+
+
+@query(f"WITH {I.clock_sql('day', 'd1')}\nSELECT {_OUT} FROM d1")
+def bars_1d(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(I.clock(spark, sf, "day", "d1"))
+
+
+@query(
+    """SELECT l_returnflag || l_linestatus AS symbol, strftime(l_shipdate, '%Y-%m-%d') AS day,
+  arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS open_price, max(l_extendedprice / l_quantity) AS high_price,
+  min(l_extendedprice / l_quantity) AS low_price, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_extendedprice)) AS close_price,
+  sum(l_quantity) AS volume, count(*) AS n FROM lineitem GROUP BY ALL"""
+)
+def bars_lineitem_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """A second source: daily bars of unit prices, order made explicit by order and line."""
+    price, order = F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    rows = I.table(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"))
+    return rows.agg(F.min_by(price, order).alias("open_price"), F.max(price).alias("high_price"), F.min(price).alias("low_price"), F.max_by(price, order).alias("close_price"), F.sum("l_quantity").alias("volume"), F.count("*").alias("n"))
+
+
+@query(f"{_H1}\nSELECT symbol, id, round(abs(close_price - open_price), 6) AS body, round(high_price - greatest(close_price, open_price), 6) AS upper_shadow, round(least(close_price, open_price) - low_price, 6) AS lower_shadow, round(high_price - low_price, 6) AS total_range FROM h1")
+def bar_shape(spark: SparkSession, sf: str) -> DataFrame:
+    return B.shape(I.clock(spark, sf)).select("symbol", "id", *[F.round(c, 6).alias(c) for c in ("body", "upper_shadow", "lower_shadow", "total_range")])
+
+
+@query(f"{_H1}\nSELECT {_OUT} FROM h1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 200")
+def last_n(spark: SparkSession, sf: str) -> DataFrame:
+    return _bars(B.last_n(I.clock(spark, sf), B.SERIES, 200))
+
+
+@query(f"WITH {I.clock_sql()}, {I.clock_sql('day', 'd1')}, u AS (SELECT * FROM h1 UNION ALL SELECT * FROM d1)\nSELECT symbol, timeframe, id, row_number() OVER (PARTITION BY symbol ORDER BY datetime, CASE timeframe WHEN 'h1' THEN 60 ELSE 1440 END) AS place FROM u")
+def multi_tf_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of two timeframes in replay order."""
+    rows = I.clock(spark, sf).unionByName(I.clock(spark, sf, "day", "d1"))
+    w = W.partitionBy("symbol").orderBy("datetime", S.timeframe_minutes("timeframe"))
+    return rows.select("symbol", "timeframe", "id", F.row_number().over(w).alias("place"))
+
+
+@query(f"WITH {I.clock_sql()}, {I.clock_sql('day', 'd1')}, u AS (SELECT * FROM h1 UNION ALL SELECT * FROM d1)\nSELECT timeframe, count(*) AS n FROM u WHERE timeframe IN ('h1') GROUP BY ALL")
+def registered_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of unregistered timeframes are ignored."""
+    rows = I.clock(spark, sf).unionByName(I.clock(spark, sf, "day", "d1"))
+    return B.keep_registered(rows, ["h1"]).groupBy("timeframe").agg(F.count("*").alias("n"))
+
+
+# --- merged bars, fractals, segments ----------------------------------------------------------------------
+
+
+def _cbars(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.cbars(I.clock(spark, sf))
+
+
+@query(f"{_H1}, {I.fractal_sql('h1')}\nSELECT symbol, id, fractal_type FROM labelled")
+def fractal_label(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.label_fractals(I.clock(spark, sf)).select("symbol", "id", "fractal_type")
+
+
+@query(f"{_H1}, {I.fractal_sql('h1')}\nSELECT symbol, id, fractal_type, greatest(lh, high_price, rh) AS envelope_high, least(ll, low_price, rl) AS envelope_low FROM labelled WHERE fractal_type <> 0")
+def fractal_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.envelopes(I.clock(spark, sf)).select("symbol", "id", "fractal_type", "envelope_high", "envelope_low")
+
+
+@query(
+    f"""{_H1}, {I.fractal_sql('h1')}
+SELECT symbol, id, last_value(CASE WHEN fractal_type <> 0 THEN id END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_fractal_id,
+       first_value(CASE WHEN fractal_type <> 0 THEN id END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_fractal_id
+FROM labelled WINDOW w AS (PARTITION BY symbol ORDER BY id)"""
+)
+def prev_next_fractal(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.fractal_neighbours(I.clock(spark, sf)).select("symbol", "id", "prev_fractal_id", "next_fractal_id")
+
+
+@query(f"{_H1}, {I.fractal_sql('h1')}\nSELECT symbol, max(id) AS id, arg_max(fractal_type, id) AS fractal_type FROM labelled WHERE fractal_type <> 0 GROUP BY symbol")
+def last_fractal(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.last_fractal(I.clock(spark, sf)).select("symbol", "id", "fractal_type")
+
+
+@query(f"{_H1}, {I.fractal_sql('h1')}, e AS (SELECT symbol, id, greatest(lh, high_price, rh) AS eh, least(ll, low_price, rl) AS el FROM labelled WHERE fractal_type <> 0)\nSELECT symbol, id, greatest(el, lag(el) OVER w) <= least(eh, lag(eh) OVER w) AS touches, greatest(el, lag(el) OVER w) < least(eh, lag(eh) OVER w) AS crosses FROM e WINDOW w AS (PARTITION BY symbol ORDER BY id)")
+def fractal_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each fractal's envelope touches or crosses that of the fractal before."""
+    w = W.partitionBy("symbol").orderBy("id")
+    rows = structure.envelopes(I.clock(spark, sf))
+    args = (F.lag("envelope_low").over(w), F.lag("envelope_high").over(w), "envelope_low", "envelope_high")
+    known = F.lag("id").over(w).isNotNull()
+    # greatest() and least() skip nulls in both engines: without a fractal before, the range is compared with itself
+    touch = F.when(known, S.overlaps(*args)).otherwise(F.col("envelope_low") <= F.col("envelope_high"))
+    cross = F.when(known, S.overlaps(*args, touch=False)).otherwise(F.col("envelope_low") < F.col("envelope_high"))
+    return rows.select("symbol", "id", touch.alias("touches"), cross.alias("crosses"))
+
+
+@query(I.with_cbars("SELECT symbol, id, sbar_start_id, sbar_end_id, high_price, low_price FROM cbar"))
+def cbar_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return _cbars(spark, sf).select("symbol", "id", "sbar_start_id", "sbar_end_id", "high_price", "low_price")
+
+
+@query(I.with_cbars(f", {I.fractal_sql('cbar')}\nSELECT symbol, id, fractal_type, CASE fractal_type WHEN 1 THEN 'top' WHEN -1 THEN 'bottom' ELSE 'none' END AS label FROM labelled"))
+def cbar_fractals(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.label_fractals(_cbars(spark, sf)).select("symbol", "id", "fractal_type", S.label("fractal_type", S.FRACTALS).alias("label"))
+
+
+@query(I.with_cbars("SELECT symbol, id, true AS range_ok, true AS single_ok, sbar_end_id - sbar_start_id + 1 AS n_bars FROM cbar"))
+def cbar_range_verify(spark: SparkSession, sf: str) -> DataFrame:
+    bars = I.clock(spark, sf)
+    return structure.range_verify(bars, structure.cbars(bars)).select("symbol", "id", "range_ok", "single_ok", "n_bars")
+
+
+@query(f"{_H1}, p AS (SELECT *, lag(high_price) OVER w AS h, lag(low_price) OVER w AS l FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY id))\nSELECT symbol, id FROM p WHERE (h >= high_price AND l <= low_price) OR (h <= high_price AND l >= low_price)")
+def inclusive_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbouring bars of which one contains the other."""
+    return structure.inclusive_pairs(I.clock(spark, sf)).select("symbol", "id")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS BIGINT) AS id WHERE false")
+def cbar_inclusive_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged bars have no such pairs."""
+    return structure.inclusive_pairs(_cbars(spark, sf)).select("symbol", "id")
+
+
+@query(I.with_cbars("SELECT c.symbol, b.id AS sbar_id, c.id AS cbar_id, c.high_price AS cbar_high, c.low_price AS cbar_low FROM cbar c JOIN h1 b ON b.symbol = c.symbol AND b.id BETWEEN c.sbar_start_id AND c.sbar_end_id"))
+def range_join_cbar_sbar(spark: SparkSession, sf: str) -> DataFrame:
+    bars = I.clock(spark, sf)
+    return structure.cbar_of_each_bar(bars, structure.cbars(bars)).select("symbol", "sbar_id", "cbar_id", "cbar_high", "cbar_low")
+
+
+@query(f"{_H1}, {I.BLOCKS}\nSELECT b.symbol, b.id AS segment_id, max(h.high_price) AS high_price, min(h.low_price) AS low_price, min(h.id) AS sbar_start_id, max(h.id) AS sbar_end_id FROM blocks b JOIN h1 h ON h.symbol = b.symbol AND h.id BETWEEN b.sbar_start_id AND b.sbar_end_id GROUP BY ALL")
+def swing_range_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of segments over the rows that they span (here bars take the place of merged bars)."""
+    segments = I.blocks(spark, sf).select("symbol", "exchange", "timeframe", "id", F.col("sbar_start_id").alias("cbar_start_id"), F.col("sbar_end_id").alias("cbar_end_id"))
+    rows = I.clock(spark, sf).withColumns({"sbar_start_id": F.col("id"), "sbar_end_id": F.col("id")})
+    return structure.range_stats(segments, rows).select("symbol", "segment_id", "high_price", "low_price", "sbar_start_id", "sbar_end_id")
+
+
+@query(f"{_H1}, {I.BLOCKS}, t AS (SELECT symbol, (id - 1) // 3 + 1 AS trend_id, min(id) AS a, max(id) AS b, arg_min(direction, id) AS d FROM blocks GROUP BY ALL)\nSELECT t.symbol, t.trend_id, count(*) AS span, round(sum(s.volume), 4) AS volume, arg_min(s.start_oi, s.id) AS start_oi, arg_max(s.end_oi, s.id) AS end_oi, count(*) FILTER (WHERE s.direction = t.d) AS same_direction FROM t JOIN blocks s ON s.symbol = t.symbol AND s.id BETWEEN t.a AND t.b GROUP BY ALL")
+def trend_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums and ends of the segments that longer segments of three span."""
+    rows = I.blocks(spark, sf)
+    three = rows.groupBy("symbol", "exchange", "timeframe", (F.floor((F.col("id") - 1) / 3) + 1).alias("id")).agg(F.min("id").alias("swing_start_id"), F.max("id").alias("swing_end_id"), F.min_by("direction", "id").alias("direction"))
+    return structure.trend_stats(three, rows).select("symbol", "trend_id", "span", F.round("volume", 4).alias("volume"), "start_oi", "end_oi", "same_direction")
+
+
+@query(f"{_H1}, {I.BLOCKS}\nSELECT symbol, id, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM blocks WINDOW w AS (PARTITION BY symbol ORDER BY id)")
+def swing_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.neighbours(I.blocks(spark, sf)).select("symbol", "id", "prev_id", "next_id")
+
+
+_SEGMENT = ["symbol", "id", "direction", "cbar_start_id", "cbar_end_id", "sbar_start_id", "sbar_end_id", "high_price", "low_price", "state"]
+
+
+@query()
+def swing_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.swings(I.walk(spark, sf)).select(*_SEGMENT, S.label("state", S.SWING_STATES).alias("label"))
+
+
+@query()
+def swing_segments_as_coded(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.swings(I.walk(spark, sf), "as_coded").select(*_SEGMENT)
+
+
+@query()
+def trend_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.trends(I.walk(spark, sf)).drop("exchange", "timeframe")
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS BIGINT) AS id WHERE false")
+def trend_segments_as_coded(spark: SparkSession, sf: str) -> DataFrame:
+    """One swing at most, so never a trend."""
+    return structure.trends(I.walk(spark, sf), "as_coded").select("symbol", "id")
+
+
+@query()
+def confirmed_swings(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.swings(I.walk(spark, sf)).where("state = 2").groupBy("symbol").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
+@query(f"{_H1}, {I.BLOCKS}, now AS (SELECT *, CASE WHEN id = 7 THEN high_price + 1 ELSE high_price END AS h2 FROM blocks)\nSELECT symbol, min(id) FILTER (WHERE h2 <> high_price OR id > 30) AS backtrack_id FROM now GROUP BY symbol")
+def backtrack_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The first segment that differs between two states: one price changed, later segments new."""
+    now = I.blocks(spark, sf).withColumn("high_price", F.when(F.col("id") == 7, F.col("high_price") + 1).otherwise(F.col("high_price")))
+    before = I.blocks(spark, sf).where("id <= 30")
+    return structure.first_changed(before, now, ["direction", "high_price", "low_price", "sbar_end_id"]).select("symbol", "backtrack_id")
+
+
+_EMA = """WITH RECURSIVE {h1}, e(symbol, id, ema) AS (
+  SELECT symbol, id, close_price FROM h1 WHERE id = 1
+  UNION ALL SELECT b.symbol, b.id, e.ema + (2.0 / 21) * (b.close_price - e.ema) FROM e JOIN h1 b ON b.symbol = e.symbol AND b.id = e.id + 1)
+SELECT symbol, id, round(ema, 6) AS ema FROM e"""
+
+
+@query(_EMA.replace("{h1}", I.clock_sql()))
+def ema(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.ema(I.clock(spark, sf), 20).select("symbol", "id", F.round("ema", 6).alias("ema"))
+
+
+_ATR = """WITH RECURSIVE {h1}, t AS (
+  SELECT symbol, id, CASE WHEN p IS NULL THEN high_price - low_price ELSE greatest(high_price - low_price, abs(high_price - p), abs(low_price - p)) END AS tr
+  FROM (SELECT *, lag(close_price) OVER (PARTITION BY symbol ORDER BY id) AS p FROM h1)),
+a(symbol, id, atr) AS (SELECT symbol, id, tr FROM t WHERE id = 1 UNION ALL SELECT t.symbol, t.id, (a.atr * 13 + t.tr) / 14 FROM a JOIN t ON t.symbol = a.symbol AND t.id = a.id + 1)
+SELECT symbol, id, round(atr, 6) AS atr FROM a"""
+
+
+@query(_ATR.replace("{h1}", I.clock_sql()))
+def atr(spark: SparkSession, sf: str) -> DataFrame:
+    return structure.atr(I.clock(spark, sf), 14).select("symbol", "id", F.round("atr", 6).alias("atr"))
+
+
+# --- supply and demand ---------------------------------------------------------------------------------------
+
+
+def _score_sql(config: dict[str, str] | None = None, source: str = "h1") -> str:
+    """scored: the score of the last fifty bars at each bar of source; config gives SQL for parameters."""
+    p = {k: str(v) for k, v in vars(supply.SupplyConfig()).items()} | (config or {})
+    sign = "CASE WHEN {0} < 0 THEN -1.0 ELSE 1.0 END".format
+    clip = "greatest({1}, least({2}, {0}))".format
+    return f"""w0 AS (
+  SELECT *, high_price - low_price AS rng, greatest(high_price - greatest(close_price, open_price), 0) + greatest(least(close_price, open_price) - low_price, 0) AS wick,
+         CASE WHEN abs(high_price - low_price) < 2.220446049250313e-16 THEN 0 ELSE {clip('abs(close_price - open_price) / (high_price - low_price)', 0, 1)} END AS ratio,
+         {sign('close_price - open_price')} AS way FROM {source}),
+w1 AS (SELECT *, CASE WHEN way <> lag(way) OVER (PARTITION BY symbol, timeframe ORDER BY id) THEN 1 ELSE 0 END AS flip FROM w0),
+w2 AS (
+  SELECT *, count(*) OVER w AS n, first_value(open_price) OVER w AS o, first_value(open_interest) OVER w AS oi0, sum(rng) OVER w AS total, sum(wick) OVER w AS wicks, avg(ratio) OVER w AS body,
+         sum(CASE WHEN close_price > open_price THEN 1 ELSE 0 END) OVER w AS ups, sum(CASE WHEN close_price < open_price THEN 1 ELSE 0 END) OVER w AS downs, avg(volume) OVER w AS mean,
+         sum(flip) OVER (PARTITION BY symbol, timeframe ORDER BY id ROWS BETWEEN 48 PRECEDING AND CURRENT ROW) AS flips
+  FROM w1 WINDOW w AS (PARTITION BY symbol, timeframe ORDER BY id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+w3 AS (
+  SELECT *, {sign('close_price - o')} AS pd, CASE WHEN abs(total) < 2.220446049250313e-16 THEN 0 ELSE {clip('(close_price - o) / total', -1, 1)} END AS f2,
+         CASE WHEN ups + downs = 0 THEN 0 ELSE (ups - downs) / (ups + downs) END AS signed, CASE WHEN abs(mean) < 2.220446049250313e-16 THEN 0 ELSE {clip('volume / mean - 1', -1, 1)} END AS f4 FROM w2),
+w4 AS (
+  SELECT *, {clip('body - wicks / (total + 1e-9)', -1, 1)} AS f1, {clip('1 - flips / n', 0, 1)} * pd AS f3,
+         CASE WHEN abs(open_interest - oi0) < 2.220446049250313e-16 THEN 0 ELSE {sign('open_interest - oi0')} * pd END AS f5, f2 AS f7,
+         {clip(clip('body - 0.5', -1, 1) + ' * pd', -1, 1)} AS f8, {sign('signed')} * pd AS f9 FROM w3),
+w5 AS (SELECT *, {clip('f4 * f5', -1, 1)} AS f6 FROM w4),
+w6 AS (
+  SELECT *, {clip('abs(f2) * abs(f4)', 0, 1)} * pd AS a, f3 AS b, {clip('body - 0.4', -1, 1)} * pd AS c, f2 AS d, f1 AS e, f6 AS f,
+         {clip('0.5 - abs(f2)', -1, 1)} AS g, CASE WHEN f8 * pd < 0 THEN 1.0 ELSE -1.0 END AS h, {clip('-f3', -1, 1)} AS i,
+         {clip(f"{p['layer1_weight']} * ({p['f1_weight']} * f1 + {p['f2_weight']} * f2 + {p['f3_weight']} * f3) + {p['layer2_weight']} * ({p['f4_weight']} * f4 + {p['f5_weight']} * f5 + {p['f6_weight']} * f6) + {p['layer3_weight']} * ({p['f7_weight']} * f7 + {p['f8_weight']} * f8 + {p['f9_weight']} * f9)", -1, 1)} AS score FROM w5),
+scored AS (
+  SELECT *, {clip('(a + b + c) / 3', -1, 1)} AS dominance, {clip('(d + e + f) / 3', -1, 1)} AS efficiency,
+         {clip('1 - (greatest(g, 0) + greatest(h, 0) + greatest(i, 0)) / 3', 0, 1)} AS sustainability, {clip('1 - (exp(2 * total / (n + 1)) - 1) / (exp(2 * total / (n + 1)) + 1)', 0, 1)} AS volatility_adjustment,
+         CASE WHEN abs(score) >= {p['stable_threshold']} THEN 'stable' WHEN abs(score) >= {p['weakening_threshold']} THEN 'weakening' WHEN abs(score) >= {p['critical_threshold']} THEN 'critical' ELSE 'failed' END AS stage FROM w6)"""
+
+
+_FACTORS = ["score", *supply.FACTORS, *supply.ATOMS, "dominance", "efficiency", "sustainability"]
+_ROUNDED = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _FACTORS)
+
+
+@query(f"{_H1}, {_score_sql()}\nSELECT symbol, id, stage, {_ROUNDED} FROM scored")
+def sd_window50(spark: SparkSession, sf: str) -> DataFrame:
+    return supply.score(I.clock(spark, sf)).select("symbol", "id", "stage", *[(F.round(c, 6) + 0.0).alias(c) for c in _FACTORS])
+
+
+@query(f"{_H1}, {_score_sql()}\nSELECT symbol, max(id) AS id, arg_max(stage, id) AS stage, round(arg_max(score, id), 6) AS score FROM scored GROUP BY symbol")
+def sd_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest stage of each symbol."""
+    return supply.latest(supply.score(I.clock(spark, sf))).select("symbol", "id", "stage", F.round("score", 6).alias("score"))
+
+
+@query(f"{_H1}, {_score_sql()}\nSELECT stage, count(*) AS n FROM scored GROUP BY stage")
+def sd_stage_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return supply.score(I.clock(spark, sf)).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def _patches(spark: SparkSession) -> DataFrame:
+    rows = [("default", "", 0.5, None, 0.35), ("timeframe", "H1", None, 0.3, None), ("symbol", " Click ", 0.6, None, None), ("symbol_timeframe", "*.h1", None, None, 0.25), ("symbol_timeframe", "view.*", 0.35, None, None), ("symbol_timeframe", "view.h1", None, 0.2, None)]
+    return spark.createDataFrame(rows, "level string, key string, stable_threshold double, f1_weight double, weakening_threshold double")
+
+
+_OVERLAY = {"stable_threshold": "(CASE symbol WHEN 'view' THEN 0.35 WHEN 'click' THEN 0.6 ELSE 0.5 END)", "f1_weight": "(CASE symbol WHEN 'view' THEN 0.2 ELSE 0.3 END)", "weakening_threshold": "0.25"}
+
+
+@query(f"{_H1}, {_score_sql(_OVERLAY)}\nSELECT symbol, id, stage, round(score, 6) AS score FROM scored")
+def sd_profile_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores with parameters of four levels of patches."""
+    rows = supply.overlay(I.clock(spark, sf), _patches(spark))
+    return supply.score(rows, config=None).select("symbol", "id", "stage", F.round("score", 6).alias("score"))
+
+
+# --- zones -----------------------------------------------------------------------------------------------------
+
+_ZONES = f"""{I.BLOCKS},
+zone AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY id DESC) AS zone_id FROM blocks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 5),
+scope AS (SELECT z.zone_id, z.direction, b.* FROM zone z JOIN h1 b ON b.symbol = z.symbol AND b.id BETWEEN z.sbar_start_id AND z.sbar_end_id),
+ticks AS (
+  SELECT symbol, zone_id, coalesce(greatest(min(s) / 10, 1e-4), 0.2) AS tick
+  FROM (SELECT symbol, zone_id, unnest([high_price - low_price, abs(close_price - open_price), high_price - open_price, abs(low_price - open_price)]) AS s FROM scope) WHERE s > 1e-9 GROUP BY ALL),
+facts AS (
+  SELECT symbol, zone_id, direction, max(high_price) AS hi, min(low_price) AS lo, min(greatest(open_price, close_price)) AS bt, max(least(open_price, close_price)) AS bb, count(*) AS n, max(id) AS last_touch_id
+  FROM scope GROUP BY ALL),
+grid AS (SELECT f.*, coalesce(t.tick, 0.2) AS tick, CASE WHEN direction = 1 THEN bt ELSE lo END AS g0, CASE WHEN direction = 1 THEN hi ELSE bb END AS g1 FROM facts f LEFT JOIN ticks t USING (symbol, zone_id)),
+points AS (
+  SELECT DISTINCT symbol, zone_id, k, g0 + k * tick AS price FROM (
+    SELECT g.*, greatest(CAST(ceil((s.low_price - g.g0) / g.tick) AS BIGINT), 0) AS k FROM grid g JOIN scope s USING (symbol, zone_id) WHERE g1 > g0
+    UNION ALL SELECT *, 0 AS k FROM grid WHERE g1 > g0) WHERE g0 + k * tick <= g1 + tick * 0.5),
+best AS (
+  SELECT symbol, zone_id, touches, price FROM (SELECT p.symbol, p.zone_id, p.k, p.price, count(*) AS touches FROM points p JOIN scope s ON s.symbol = p.symbol AND s.zone_id = p.zone_id AND s.low_price <= p.price AND p.price <= s.high_price GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY symbol, zone_id ORDER BY touches DESC, k) = 1),
+bounds AS (
+  SELECT z.symbol, z.exchange, z.timeframe, z.zone_id, z.direction, z.sbar_start_id, z.sbar_end_id, g.last_touch_id,
+         CASE WHEN g1 > g0 AND z.direction = 1 THEN coalesce(b.price, g0) WHEN z.direction = -1 THEN lo ELSE z.low_price END AS a,
+         CASE WHEN z.direction = 1 THEN hi WHEN g1 > g0 THEN coalesce(b.price, g0) ELSE z.high_price END AS c,
+         CASE WHEN g1 > g0 THEN greatest(coalesce(b.touches, 0), 1) ELSE g.n END AS touch_count
+  FROM zone z JOIN grid g USING (symbol, zone_id) LEFT JOIN best b USING (symbol, zone_id)),
+refined AS (SELECT symbol, exchange, timeframe, zone_id, direction, least(a, c) AS lower, greatest(a, c) AS upper, touch_count, last_touch_id, sbar_start_id, sbar_end_id FROM bounds)"""
+
+
+def _zones(spark: SparkSession, sf: str) -> DataFrame:
+    return zones.zones(I.blocks(spark, sf), None, I.clock(spark, sf))
+
+
+@query(f"{_H1}, {_ZONES}\nSELECT symbol, zone_id, round(tick, 8) AS tick FROM grid")
+def tick_size_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    found = zones.candidates(I.blocks(spark, sf), "swing").withColumn("zone_id", F.col("place"))
+    scope = found.select(*zones.ZONE, F.explode(F.sequence("sbar_start_id", "sbar_end_id")).alias("id")).join(I.clock(spark, sf), [*zones.KEYS, "id"])
+    return zones.tick_sizes(scope, zones.ZONE).select("symbol", "zone_id", F.round("tick", 8).alias("tick"))
+
+
+@query(f"{_H1}, {_ZONES}\nSELECT symbol, zone_id, direction, round(lower, 6) AS lower, round(upper, 6) AS upper, touch_count, last_touch_id FROM refined")
+def keyzone_refine(spark: SparkSession, sf: str) -> DataFrame:
+    return _zones(spark, sf).select("symbol", "zone_id", "direction", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "touch_count", "last_touch_id")
+
+
+_REACTIONS = f"""{_ZONES},
+pairs AS (SELECT *, lag(close_price) OVER w AS pc, lag(high_price) OVER w AS ph, lag(low_price) OVER w AS pl FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY id)),
+last_bar AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 20),
+j AS (
+  SELECT z.symbol, z.zone_id, z.direction, z.lower, z.upper, z.touch_count, b.id AS sbar_id, b.open_price, b.close_price, b.pc, b.ph, b.pl,
+         greatest(0, least(1, (least(b.high_price, z.upper) - greatest(b.low_price, z.lower)) / greatest(z.upper - z.lower, 1e-6))) AS ov,
+         greatest(0, least(1, abs(b.close_price - b.open_price) / greatest(b.high_price - b.low_price, 1e-6))) AS bd
+  FROM refined z JOIN last_bar b ON b.symbol = z.symbol WHERE least(b.high_price, z.upper) > greatest(b.low_price, z.lower)),
+judged AS (
+  SELECT *, close_price BETWEEN lower AND upper AS inside, CASE WHEN direction = 1 THEN close_price < lower ELSE close_price > upper END AS across,
+         CASE WHEN direction = 1 THEN close_price >= open_price ELSE close_price <= open_price END AS along,
+         coalesce(CASE WHEN direction = 1 THEN pc > upper ELSE pc < lower END, false) AS broke, coalesce(pl <= upper AND ph >= lower, false) AS touched FROM j),
+signals AS (
+  SELECT *, CASE WHEN broke AND inside THEN 'breakout_failure' WHEN touched AND touch_count >= 2 AND along THEN 'second_push'
+                 WHEN inside AND along AND ov >= 0.55 AND bd >= 0.45 THEN 'strong_accept' WHEN inside AND along THEN 'weak_accept'
+                 WHEN across OR (NOT along AND bd >= 0.45) THEN 'strong_reject' WHEN NOT along THEN 'weak_reject' END AS behavior,
+            CASE WHEN broke AND inside THEN 0.65 + 0.35 * ov WHEN touched AND touch_count >= 2 AND along THEN 0.55 + 0.45 * bd
+                 WHEN inside AND along THEN 0.4 * ov + 0.6 * bd ELSE 0.5 * ov + 0.5 * bd END AS strength FROM judged)"""
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The last twenty bars of each series with their predecessors."""
+    w = W.partitionBy(*zones.KEYS).orderBy("id")
+    rows = I.clock(spark, sf).withColumns({f"prev_{x}": F.lag(f"{x}_price").over(w) for x in ("close", "high", "low")})
+    return B.last_n(rows, zones.KEYS, 20)
+
+
+@query(f"{_H1}, {_REACTIONS}\nSELECT symbol, zone_id, sbar_id, direction, behavior, round(strength, 6) AS strength, CASE WHEN behavior IN ('strong_accept', 'weak_accept', 'second_push') THEN 'accept' ELSE 'reject' END AS state FROM signals WHERE behavior IS NOT NULL")
+def keyzone_signal(spark: SparkSession, sf: str) -> DataFrame:
+    return zones.reactions(_zones(spark, sf), _pairs(spark, sf)).select("symbol", "zone_id", "sbar_id", "direction", "behavior", F.round("strength", 6).alias("strength"), zones.reaction_state().alias("state"))
+
+
+@query(
+    f"""{_H1}, {_REACTIONS}
+SELECT symbol, zone_id, behavior, direction, round(strength, 6) AS strength,
+       round((CASE WHEN direction = 1 THEN 1 ELSE -1 END) * (CASE WHEN behavior IN ('strong_accept', 'weak_accept', 'second_push') THEN 1 ELSE -1 END) * strength, 6) AS signed_strength
+FROM signals WHERE behavior IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY strength DESC, zone_id) = 1"""
+)
+def keyzone_best(spark: SparkSession, sf: str) -> DataFrame:
+    """The strongest reaction to a zone within the last twenty bars."""
+    found = zones.best(zones.reactions(_zones(spark, sf), _pairs(spark, sf)))
+    return found.select("symbol", "zone_id", "behavior", "direction", F.round("strength", 6).alias("strength"), F.round("signed_strength", 6).alias("signed_strength"))
+
+
+@query(f"{_H1}, {I.BLOCKS}\nSELECT symbol, 6 - row_number() OVER (PARTITION BY symbol ORDER BY id DESC) AS zone_id, direction, low_price AS lower, high_price AS upper FROM blocks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id DESC) <= 5")
+def keyzone_raw_builder(spark: SparkSession, sf: str) -> DataFrame:
+    """Unrefined zones, oldest first, by a registered builder."""
+    return zones.BUILDERS["swing"](I.blocks(spark, sf)).select("symbol", "zone_id", "direction", "lower", "upper")
+
+
+@query()
+def keyzone_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones of the bars' own swings and trends."""
+    bars = I.walk(spark, sf)
+    return zones.zones(structure.swings(bars), structure.trends(bars), bars)
+
+
+# --- snapshots and decisions --------------------------------------------------------------------------------------
+
+_TWO = f"WITH {I.clock_sql()}, {I.clock_sql('day', 'd1')}, u AS (SELECT * FROM h1 UNION ALL SELECT * FROM d1)"
+
+
+@query(f"{_TWO}\nSELECT symbol, arg_max(close_price, id) FILTER (WHERE timeframe = 'd1') AS higher_close, arg_max(close_price, id) FILTER (WHERE timeframe = 'h1') AS entry_close, max(id) FILTER (WHERE timeframe = 'h1') AS entry_id FROM u GROUP BY symbol")
+def mtf_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    rows = I.clock(spark, sf).unionByName(I.clock(spark, sf, "day", "d1"))
+    out = decision.snapshot(rows, {"higher": "d1", "entry": "h1"}, ["id", "close_price"])
+    return out.select("symbol", F.col("higher.close_price").alias("higher_close"), F.col("entry.close_price").alias("entry_close"), F.col("entry.id").alias("entry_id"))
+
+
+@query(f"WITH {I.clock_sql()}, {I.clock_sql('day', 'd1')}\nSELECT h1.symbol, h1.id, d1.id AS day_id, d1.close_price AS day_close FROM h1 ASOF LEFT JOIN d1 ON h1.symbol = d1.symbol AND h1.datetime >= d1.datetime")
+def asof_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Each hourly bar with the latest daily bar that began by then."""
+    days = I.clock(spark, sf, "day", "d1").select("symbol", "datetime", F.col("id").alias("day_id"), F.col("close_price").alias("day_close"))
+    hours = I.clock(spark, sf).select("symbol", "datetime", "id")
+    return decision.as_of(hours, days, ["symbol"], "datetime", ["day_id", "day_close"]).select("symbol", "id", "day_id", "day_close")
+
+
+@query(
+    """WITH a AS (SELECT event_type AS symbol, event_id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_id % 7 = 0), b AS (SELECT event_type AS symbol, event_id AS e, (epoch_us(ts) // 1000) AS t FROM events WHERE event_id % 11 = 3)
+SELECT symbol, event_id, nearest_id FROM (
+  SELECT a.symbol, a.event_id, b.e AS nearest_id, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.t - b.t), b.t) AS rn FROM a JOIN b ON a.symbol = b.symbol) WHERE rn = 1"""
+)
+def nearest_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Marks with the nearest of other marks in time, the earlier of two equally near."""
+    e = I.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "event_id", F.unix_millis("ts").alias("t"))
+    marks = e.where("event_id % 7 = 0")
+    others = e.where("event_id % 11 = 3").select("symbol", F.col("t").alias("u"), F.col("event_id").alias("nearest_id"))
+    return decision.nearest(marks, others, ["symbol"], "t", "u", "nearest_id").select("symbol", "event_id", "nearest_id").where("nearest_id is not null")
+
+
+_CONTEXT = """ctx AS (
+  SELECT event_id, ((event_id * 7) % 3) - 1 AS higher_direction, CASE WHEN event_id % 5 < 4 THEN ((event_id * 7) % 3) - 1 ELSE 0 END AS trade_direction, ((event_id * 7) % 3) - 1 AS entry_direction,
+         event_id % 17 = 0 AS has_keyzone_conflict, event_id % 6 <> 1 AS is_accept_state,
+         CASE event_id % 7 WHEN 0 THEN 'strong_accept' WHEN 1 THEN 'weak_accept' WHEN 2 THEN 'second_push' WHEN 3 THEN 'weak_reject' WHEN 4 THEN 'strong_reject' WHEN 5 THEN 'breakout_failure' ELSE NULL END AS keyzone_behavior,
+         (event_id % 10) / 10.0 AS keyzone_strength, 3 + event_id % 6 AS gate_consistency, event_id % 4 AS gate_conflicts, event_id % 8 <> 2 AS second_push_ready, event_id % 29 = 0 AS breakout_failure,
+         event_id % 31 = 0 AS cooldown_active, event_id % 2 = 0 AS prefer_close_over_open, CASE event_id % 9 WHEN 0 THEN 'long' WHEN 1 THEN 'short' ELSE 'flat' END AS position,
+         CASE event_id % 11 WHEN 0 THEN 'failed' WHEN 1 THEN 'critical' WHEN 2 THEN 'weakening' ELSE 'stable' END AS sd_stage,
+         (((event_id * 7) % 3) - 1) * (value / 500.0) AS sd_score, value / 500.0 - 0.5 AS sd_dominance, 0.3 AS sd_efficiency, 0.2 AS sd_sustainability FROM events)"""
+
+_DECIDE = """d AS (
+  SELECT *, coalesce(keyzone_behavior, 'none') AS kb, higher_direction = trade_direction AND trade_direction = entry_direction AND higher_direction <> 0 AS aligned,
+    greatest(0.2, least(0.8, CASE sd_stage WHEN 'stable' THEN 0.35 WHEN 'weakening' THEN 0.45 WHEN 'critical' THEN 0.55 ELSE 1.0 END
+      + CASE keyzone_behavior WHEN 'strong_accept' THEN -0.10 WHEN 'weak_accept' THEN -0.05 WHEN 'second_push' THEN -0.08 WHEN 'weak_reject' THEN 0.08 WHEN 'strong_reject' THEN 0.12 WHEN 'breakout_failure' THEN 0.15 ELSE 0 END)) AS least_score,
+    greatest(-1, least(1, 0.4 * sd_dominance + 0.35 * sd_efficiency + 0.25 * sd_sustainability)) AS quality FROM ctx),
+e AS (
+  SELECT *, aligned AND quality >= -0.1 AND is_accept_state AND higher_direction = 1 AND sd_score >= least_score AS bull, aligned AND quality >= -0.1 AND is_accept_state AND higher_direction = -1 AND sd_score <= -least_score AS bear,
+    gate_consistency >= 7 AND NOT (gate_consistency <= 4 OR gate_conflicts >= 3 OR (keyzone_strength > 0.7 AND kb IN ('strong_reject', 'breakout_failure'))) AS passed, breakout_failure OR kb = 'breakout_failure' AS failure FROM d),
+f AS (
+  SELECT *, CASE WHEN cooldown_active THEN 'wait:cooldown active' WHEN failure AND position = 'long' THEN 'sell:breakout failure: close long first' WHEN failure AND position = 'short' THEN 'cover:breakout failure: close short first'
+    WHEN failure THEN 'wait:breakout failure: no open position' WHEN has_keyzone_conflict THEN 'wait:keyzone conflict' WHEN sd_stage = 'failed' THEN 'wait:sd not reliable'
+    WHEN prefer_close_over_open AND position = 'long' AND (NOT bull OR sd_score < 0 OR NOT is_accept_state) THEN 'sell:close-long priority on signal degradation'
+    WHEN prefer_close_over_open AND position = 'short' AND (NOT bear OR sd_score > 0 OR NOT is_accept_state) THEN 'cover:close-short priority on signal degradation'
+    WHEN NOT aligned THEN 'wait:multi timeframe conflict' WHEN NOT passed THEN 'wait:execution gate not passed' WHEN NOT second_push_ready THEN 'wait:waiting second push confirmation'
+    WHEN bull AND position = 'flat' THEN 'buy:bullish dominance confirmed' WHEN bear AND position = 'flat' THEN 'short:bearish dominance confirmed' WHEN bull AND position = 'short' THEN 'cover:bullish reversal: close short'
+    WHEN bear AND position = 'long' THEN 'sell:bearish reversal: close long' ELSE 'wait:edge too weak' END AS told FROM e)"""
+
+
+@query(f"WITH {_CONTEXT},\n{_DECIDE}\nSELECT event_id, split_part(told, ':', 1) AS action, substr(told, strpos(told, ':') + 1) AS reason FROM f")
+def decision_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole rule chain over contexts made from events."""
+    i, way = F.col("event_id"), ((F.col("event_id") * 7) % 3 - 1).cast("int")
+    behaviors = F.array(*[F.lit(x) for x in ("strong_accept", "weak_accept", "second_push", "weak_reject", "strong_reject", "breakout_failure")])
+    rows = I.table(spark, sf, "events").select(
+        "event_id",
+        way.alias("higher_direction"),
+        F.when(i % 5 < 4, way).otherwise(0).alias("trade_direction"),
+        way.alias("entry_direction"),
+        (i % 17 == 0).alias("has_keyzone_conflict"),
+        (i % 6 != 1).alias("is_accept_state"),
+        F.get(behaviors, (i % 7).cast("int")).alias("keyzone_behavior"),
+        ((i % 10) / 10.0).alias("keyzone_strength"),
+        (3 + i % 6).alias("gate_consistency"),
+        (i % 4).alias("gate_conflicts"),
+        (i % 8 != 2).alias("second_push_ready"),
+        (i % 29 == 0).alias("breakout_failure"),
+        (i % 31 == 0).alias("cooldown_active"),
+        (i % 2 == 0).alias("prefer_close_over_open"),
+        F.when(i % 9 == 0, "long").when(i % 9 == 1, "short").otherwise("flat").alias("position"),
+        F.when(i % 11 == 0, "failed").when(i % 11 == 1, "critical").when(i % 11 == 2, "weakening").otherwise("stable").alias("sd_stage"),
+        (way * (F.col("value") / 500.0)).alias("sd_score"),
+        (F.col("value") / 500.0 - 0.5).alias("sd_dominance"),
+        F.lit(0.3).alias("sd_efficiency"),
+        F.lit(0.2).alias("sd_sustainability"),
+    )
+    return decision.decide(rows).select("event_id", "action", "reason")
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    return supply.score(I.clock(spark, sf)).unionByName(supply.score(I.clock(spark, sf, "day", "d1")))
+
+
+@query(
+    f"""{_TWO}, {_score_sql(source='u')},
+snap AS (SELECT symbol, arg_max(score, id) FILTER (WHERE timeframe = 'd1') AS hs, arg_max(score, id) FILTER (WHERE timeframe = 'h1') AS es, arg_max(stage, id) FILTER (WHERE timeframe = 'h1') AS st FROM scored GROUP BY symbol)
+SELECT symbol, CASE WHEN hs > 0.2 THEN 1 WHEN hs < -0.2 THEN -1 ELSE 0 END AS higher_direction, CASE WHEN es > 0.2 THEN 1 WHEN es < -0.2 THEN -1 ELSE 0 END AS entry_direction, 'wait' AS action,
+       CASE WHEN st = 'failed' THEN 'sd not reliable' ELSE 'multi timeframe conflict' END AS reason FROM snap"""
+)
+def strategy_decision(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of two timeframes (the third has no bars, so counts as none) to contexts to decisions."""
+    snap = decision.snapshot(_scored(spark, sf), {"higher": "d1", "trade": "m15", "entry": "h1"}, ["score", "stage", "dominance", "efficiency", "sustainability"])
+    rows = decision.context(snap.withColumns({"behavior": F.lit(None).cast("string"), "strength": F.lit(None).cast("double")}))
+    return decision.decide(rows).select("symbol", "higher_direction", "entry_direction", "action", "reason")
+
+
+# --- feeds ------------------------------------------------------------------------------------------------------------
+
+_SUBS = "subs(subscriber, channel) AS (VALUES ('a', 'click:3600'), ('b', 'click:3600'), ('b', 'view:3600'), ('c', 'none:60'))"
+
+
+def _subscriptions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("a", "click:3600"), ("b", "click:3600"), ("b", "view:3600"), ("c", "none:60")], "subscriber string, channel string")
+
+
+@query(f"{_H1}, {_SUBS}\nSELECT subscriber, symbol, id FROM h1 JOIN subs ON channel = lower(symbol) || ':3600'")
+def channel_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.route(I.clock(spark, sf), _subscriptions(spark), 3600).select("subscriber", "symbol", "id")
+
+
+@query(f"WITH {_SUBS}\nSELECT channel, count(*) AS subscribers FROM subs GROUP BY channel")
+def active_channels(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.active_channels(_subscriptions(spark))
+
+
+@query(f"{_H1}, {_SUBS}, c AS (SELECT DISTINCT lower(symbol) || ':3600' AS channel FROM h1)\nSELECT channel, channel IN (SELECT channel FROM subs) AS received FROM c")
+def channel_membership(spark: SparkSession, sf: str) -> DataFrame:
+    """Channels with and without receivers, by semi and anti join."""
+    channels, subs = I.clock(spark, sf).select(S.channel_key("symbol", F.lit(3600)).alias("channel")).distinct(), _subscriptions(spark)
+    return routing.channels_with_receivers(channels, subs).withColumn("received", F.lit(True)).unionByName(routing.new_subscriptions(channels, subs).withColumn("received", F.lit(False)))
+
+
+def _overload(policy: str, order: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return routing.ring(I.clock(spark, sf), B.SERIES, "id", 64, policy).select("symbol", "id")
+
+    run.__name__ = f"overload_{policy}"
+    query(f"{_H1}\nSELECT symbol, id FROM h1 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY id {order}) <= 64")(run)
+
+
+_overload("drop_oldest", "DESC")
+_overload("drop_newest", "ASC")
+
+
+@query(f"{_H1}\nSELECT symbol, count(*) AS published, greatest(count(*) - 64, 0) AS dropped, greatest(count(*) - 64, 0) AS dropped_oldest, 0 AS dropped_newest, least(count(*), 64) AS ring_len FROM h1 GROUP BY symbol")
+def ring_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.ring_counters(I.clock(spark, sf), ["symbol"], 64)
+
+
+@query(f"{_H1}\nSELECT symbol, id AS sbar_id, event_order, event_type FROM h1, (SELECT unnest(range(6)) AS event_order, unnest(['sbar_created', 'cbar_changed', 'swing_changed', 'trend_changed', 'timeframe_end', 'bar_appended']) AS event_type)")
+def change_events(spark: SparkSession, sf: str) -> DataFrame:
+    return routing.change_events(I.clock(spark, sf)).select("symbol", "sbar_id", "event_order", "event_type")
+
+
+# --- sources and scalars ---------------------------------------------------------------------------------------------------
+
+_MESSAGE = """'{"stream":"x","data":{"E":' || (epoch_us(ts) // 1000) || ',"s":"' || upper(event_type) || '","p":"' || CAST(value AS VARCHAR) || '","q":"0.25","T":' || (epoch_us(ts) // 1000) || '}}'"""
+
+
+@query("SELECT upper(event_type) AS symbol, 'BINANCE' AS exchange, (epoch_us(ts) // 1000) AS at, value AS close_price, 0.25 AS volume, round(value * 0.25, 6) AS turnover FROM events WHERE event_id % 5 <> 4")
+def json_trade_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Trade messages, wrapped and bare; those without a price are dropped."""
+    at = F.unix_millis("ts")
+    body = F.struct(at.alias("E"), F.upper("event_type").alias("s"), F.when(F.col("event_id") % 5 != 4, F.col("value").cast("string")).alias("p"), F.lit("0.25").alias("q"), at.alias("T"))
+    text = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.lit("x").alias("stream"), body.alias("data")))).otherwise(F.to_json(body))
+    rows = readers.parse_trades(I.table(spark, sf, "events").select(text.alias("value")))
+    return rows.select("symbol", "exchange", F.unix_millis("datetime").alias("at"), "close_price", "volume", F.round("turnover", 6).alias("turnover"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_property(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+@query(f"{_H1}\nSELECT symbol, epoch_ms(datetime) AS at, open_price, high_price, low_price, close_price, volume, open_interest, turnover FROM h1")
+def pipe_log_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars to log lines and back; broken lines are skipped."""
+    lines = writers.pipe_lines(I.clock(spark, sf)).unionByName(spark.createDataFrame([("",), ("1|a|b",), ("x|a|b|1|1|1|1|1|1|1",)], "value string"))
+    return readers.parse_pipe(lines).select("symbol", F.unix_millis("datetime").alias("at"), "open_price", "high_price", "low_price", "close_price", "volume", "open_interest", "turnover")
+
+
+@query("SELECT event_id, round(round(round(value / 0.2) * 0.2 * 100) / 100, 6) AS price FROM events")
+def round_price(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "events").select("event_id", F.round(S.round_price("value", F.lit(0.2), F.lit(2)), 6).alias("price"))
+
+
+@query("SELECT * FROM (VALUES ('a', ['I2601', 'RB2605']), ('b', ['I2601']), ('c', ['x', 'y', 'z'])) AS t(k, symbols)")
+def symbol_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("a", " I2601,RB2605,, I2601 "), ("b", " , "), ("c", "x,y,x,z,y")], "k string, text string")
+    return rows.select("k", S.split_symbols("text").alias("symbols"))
+
+
+@query("SELECT * FROM (VALUES ('one', 'wss://h/ws/btcusdt@trade'), ('two', 'wss://h/stream?streams=btcusdt@trade/ethusdt@trade')) AS t(k, url)")
+def stream_endpoint(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([("one", ["BTCUSDT", "btcusdt "]), ("two", ["ETHUSDT", "BTCUSDT", "ethusdt"])], "k string, symbols array<string>")
+    return rows.select("k", S.stream_endpoint("wss://h", "symbols").alias("url"))
+
+
+@query("SELECT i AS attempt, CAST(least(500 * pow(2, least(greatest(i - 1, 0), 10)), 30000) AS BIGINT) AS delay_ms FROM range(15) AS t(i)")
+def backoff(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(15).select(F.col("id").alias("attempt"), S.backoff_ms("id", F.lit(500), F.lit(30000)).alias("delay_ms"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%m-%d %H:%M') AS shown FROM events")
+def display_time(spark: SparkSession, sf: str) -> DataFrame:
+    return I.table(spark, sf, "events").select("event_id", S.display_time("ts").alias("shown"))
+
+
+@query("SELECT * FROM (VALUES ('2024-01-02T03:04:05Z', 1704164645000), ('2024-01-02 03:04:05.250', 1704164645250), ('2024/01/02 03:04:05', 1704164645000), ('20240102030405.5', 1704164645500), ('2024-01-02', 1704153600000), ('2024-01-02T03:04:05+08:00', 1704135845000), ('nonsense', NULL)) AS t(k, ms)")
+def parse_datetime(spark: SparkSession, sf: str) -> DataFrame:
+    texts = ["2024-01-02T03:04:05Z", "2024-01-02 03:04:05.250", "2024/01/02 03:04:05", "20240102030405.5", "2024-01-02", "2024-01-02T03:04:05+08:00", "nonsense"]
+    return spark.createDataFrame([(x,) for x in texts], "k string").select("k", F.unix_millis(S.parse_datetime("k")).alias("ms"))
+
+
+@query("SELECT * FROM (VALUES (' 1H ', 'h1', 60), ('m5', 'm5', 5), ('1d', 'd1', 1440), ('60m', 'h1', 60)) AS t(k, label, minutes)")
+def timeframe_parse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(" 1H ",), ("m5",), ("1d",), ("60m",)], "k string").withColumn("label", S.timeframe("k"))
+    return rows.withColumn("minutes", S.timeframe_minutes("label"))
+
+
+@query("SELECT symbol, count(*) AS n, round(max(close_price), 6) AS top, round(sum(turnover), 4) AS turnover FROM (SELECT 'ctp' AS symbol, 100.2 + i * 0.2 AS close_price, 1000 * (100.2 + i * 0.2) AS turnover FROM range(300) t(i) UNION ALL SELECT 'crypto', 100.1 + i * 0.1, 800 * (100.1 + i * 0.1) FROM range(300) t(i) UNION ALL SELECT 'boot', 100.2 + i * 0.2, (1000 + 10 * i) * (100.2 + i * 0.2) FROM range(300) t(i)) GROUP BY symbol")
+def synthetic_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    rows = readers.synthetic_bars(spark, 300, "ctp", "ctp").unionByName(readers.synthetic_bars(spark, 300, "crypto", "crypto")).unionByName(readers.bootstrap_bars(spark, 300, "boot"))
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.max("close_price"), 6).alias("top"), F.round(F.sum("turnover"), 4).alias("turnover"))
+
+
+# --- exports and audits -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    I.with_cbars(
+        """, last_bar AS (SELECT symbol, max(CAST(epoch(datetime) AS BIGINT)) AS last FROM h1 GROUP BY symbol)
+SELECT c.symbol, CAST(c.id AS VARCHAR) AS id, last + 60 * c.id AS time, round(coalesce(lag((c.high_price + c.low_price) / 2) OVER (PARTITION BY c.symbol ORDER BY c.id), (c.high_price + c.low_price) / 2), 6) AS open,
+       c.high_price AS high, c.low_price AS low, round((c.high_price + c.low_price) / 2, 6) AS close FROM cbar c JOIN last_bar USING (symbol)"""
+    )
+)
+def export_cbar_axis(spark: SparkSession, sf: str) -> DataFrame:
+    bars = I.clock(spark, sf)
+    return export.cbar_axis(bars, structure.cbars(bars)).select("symbol", "id", "time", F.round("open", 6).alias("open"), "high", "low", F.round("close", 6).alias("close"))
+
+
+@query(I.with_cbars("SELECT c.symbol, b.id AS sbar_id, CAST(epoch(b.datetime) AS BIGINT) AS time, c.high_price AS high, c.low_price AS low, round((c.high_price + c.low_price) / 2, 6) AS close FROM cbar c JOIN h1 b ON b.symbol = c.symbol AND b.id BETWEEN c.sbar_start_id AND c.sbar_end_id"))
+def export_cbar_candles(spark: SparkSession, sf: str) -> DataFrame:
+    bars = I.clock(spark, sf)
+    return export.cbar_candles(bars, structure.cbars(bars)).select("symbol", "sbar_id", "time", "high", "low", F.round("close", 6).alias("close"))
+
+
+@query()
+def export_segments(spark: SparkSession, sf: str) -> DataFrame:
+    bars = I.walk(spark, sf)
+    return export.segments(structure.swings(bars), structure.cbars(bars), bars)
+
+
+@query()
+def export_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """A JSON document for each series."""
+    bars = I.walk(spark, sf)
+    merged = structure.cbars(bars)
+    return export.payload({"cbars": export.cbar_axis(bars, merged), "swings": export.segments(structure.swings(bars), merged, bars)}).select("symbol", "payload")
+
+
+@query()
+def audit_structures(spark: SparkSession, sf: str) -> DataFrame:
+    bars = I.walk(spark, sf)
+    return export.audit(bars, structure.cbars(bars), structure.swings(bars), structure.trends(bars)).drop("exchange", "timeframe")
+
+
+@query(f"{_H1}, p AS (SELECT *, lag(high_price) OVER w AS h, lag(low_price) OVER w AS l FROM h1 WINDOW w AS (PARTITION BY symbol ORDER BY id)), v AS (SELECT symbol, id FROM p WHERE (h >= high_price AND l <= low_price) OR (h <= high_price AND l >= low_price))\nSELECT symbol, id, (SELECT count(*) FROM v) AS total FROM v ORDER BY symbol, id LIMIT 30")
+def first_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of the first thirty and the number of all."""
+    return export.first_violations(structure.inclusive_pairs(I.clock(spark, sf))).select("symbol", "id", "total")
+
+
+@query(f"{_H1}\nSELECT symbol, id, dense_rank() OVER (PARTITION BY symbol ORDER BY datetime) - 1 AS axis FROM h1")
+def time_axis(spark: SparkSession, sf: str) -> DataFrame:
+    return export.time_axis(I.clock(spark, sf)).select("symbol", "id", "axis")
+
+
+@query(f"{_H1}, {I.BLOCKS}\nSELECT h.symbol, h.id, max(b.id) AS segment_id FROM h1 h LEFT JOIN blocks b ON b.symbol = h.symbol AND h.id BETWEEN b.sbar_start_id AND b.sbar_end_id GROUP BY ALL")
+def segment_at(spark: SparkSession, sf: str) -> DataFrame:
+    lines = I.blocks(spark, sf)
+    return export.segment_at(I.clock(spark, sf), lines, "id", "sbar_start_id", "sbar_end_id").select("symbol", "id", "segment_id")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1,0 +1 @@
+"""Readers and writers of bars, trades, symbols and configuration."""

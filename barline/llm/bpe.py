@@ -1,6 +1,6 @@
 """BPE encoding and decoding over a minimal acyclic lexicon.
 
-The most frequent words of the corpus, counted over all rows, are compiled with their ids into an acyclic automaton
+The frequent words of the corpus, counted over all rows, are compiled with their ids into an acyclic automaton
 that shares prefixes and suffixes (each edge counts the words before it, so a walk gives the word's number and
 that its ids). The file is sent with SparkContext.addFile and memory-mapped by the workers. Words outside it are
 merged exactly. Results don't depend on what the lexicon holds.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import raw
 
-LEXICON_WORDS, CACHE = 32_768, 600_000
+LEXICON_SHARE, CACHE = 2.0**-20, 700_000
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: The tokenizer file's own split pattern, with white space spelled out.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -68,7 +68,8 @@ class WordBpe:
     def words(self, text: str) -> list[str]:
         """Normalised pre-tokens of a text without special tokens."""
         if text.isascii():
-            return [text.lower()] if text.isalpha() else _WORD.findall(text.lower())
+            text = text.lower()
+            return [text] if text.isalpha() else _WORD.findall(text)
         return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def merge(self, word: str) -> list[int]:
@@ -96,7 +97,8 @@ class WordBpe:
 
     def decode(self, ids) -> str:
         """As a tokenizer without a decoder: tokens joined by spaces; ids outside the vocabulary give nothing."""
-        return " ".join(self.tokens[i] for i in ids if i in self.tokens)
+        tokens = self.tokens
+        return " ".join([tokens[i] for i in ids if i in tokens])
 
 
 class Lexicon:
@@ -232,41 +234,40 @@ class Recent(dict):
 
 
 class Encoder:
-    """Texts to id bytes: by white-space chunk from a cache, else by word from the lexicon, else by merging."""
+    """Texts to ids and back: by white-space chunk from a cache, else by word from the lexicon, else by merging.
+
+    A part of a text is its ids, as little-endian unsigned 32-bit integers, with what decode() gives for them.
+    """
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None = None):
         self.bpe, self.lexicon = bpe, lexicon
-        self.by_chunk, self.by_word, self.decoded = Recent(self._whole), Recent(self._word), Recent(self._decode)
+        self.by_chunk, self.by_word = Recent(self._whole), Recent(self._word)
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> tuple[bytes, str]:
         found = self.lexicon.get(word.encode()) if self.lexicon else None
-        return found if found is not None else array("I", self.bpe.merge(word)).tobytes()
-
-    def _whole(self, text: str) -> bytes:
-        by_word = self.by_word
-        return b"".join([by_word[w] for w in self.bpe.words(text)])
-
-    def _decode(self, ids: bytes) -> str:
-        return self.bpe.decode(array("I", ids))
-
-    def parts(self, text: str) -> list[bytes]:
-        """The text's ids, as the ids of consecutive parts of it, none empty."""
-        for cache in (self.by_chunk, self.by_word, self.decoded):
-            cache.trim()
+        ids = array("I", found if found is not None else self.bpe.merge(word))
+        return ids.tobytes(), self.bpe.decode(ids)
+
+    def _whole(self, text: str) -> tuple[bytes, str]:
+        words = self.bpe.words(text)
+        if len(words) == 1:
+            return self.by_word[words[0]]
+        parts = [self.by_word[w] for w in words]
+        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+
+    def both(self, text: str) -> tuple[bytes, str]:
+        """The text's ids and their decoding."""
+        self.by_chunk.trim()
+        self.by_word.trim()
         out, by_chunk = [], self.by_chunk
         for piece, special in self.bpe.pieces(text):
             if special is not None:
-                out.append(special.to_bytes(4, "little"))
+                out.append((special.to_bytes(4, "little"), self.bpe.decode([special])))
             elif _ODD_SPLIT.search(piece):
                 out.append(self._whole(piece))
             else:
                 out += [by_chunk[c] for c in piece.split()]
-        return [x for x in out if x]
-
-    def decode_parts(self, parts: list[bytes]) -> str:
-        """decode() of the ids of all parts."""
-        decoded = self.decoded
-        return " ".join([decoded[ids] for ids in parts])
+        return b"".join([p[0] for p in out]), " ".join([p[1] for p in out if p[0]])
 
 
 def _count_batches(shared):
@@ -292,17 +293,18 @@ def _count_batches(shared):
     return run
 
 
-def frequent_words(docs: DataFrame, shared, text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The size most frequent words of all texts (ties: the smaller word)."""
-    words = docs.select(F.col(text_col).alias("text")).mapInArrow(_count_batches(shared), "word string, n long")
-    top = words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r[0] for r in top.select("word").collect()]
+def frequent_words(docs: DataFrame, shared: Shared, text_col: str = "text", share: float = LEXICON_SHARE) -> list[str]:
+    """The words that occur at least once in every 1 / share bytes of all texts: no more than 1 / share words."""
+    texts = docs.select(F.col(text_col).alias("text"))
+    least = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * share
+    words = texts.mapInArrow(_count_batches(shared), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r[0] for r in words.where(F.col("n") >= least).select("word").collect()]
 
 
-def publish_lexicon(docs: DataFrame, shared, text_col: str = "text", size: int = LEXICON_WORDS) -> str:
+def publish_lexicon(docs: DataFrame, shared, text_col: str = "text", share: float = LEXICON_SHARE) -> str:
     """Compile the lexicon of docs, send it to all workers; the name it has there."""
     bpe = _bpe(shared)
-    data = compile_lexicon({w.encode(): bpe.merge(w) for w in frequent_words(docs, shared, text_col, size)})
+    data = compile_lexicon({w.encode(): bpe.merge(w) for w in frequent_words(docs, shared, text_col, share)})
     folder, name = tempfile.mkdtemp(prefix="lexicon-"), f"lexicon-{uuid.uuid4().hex}.bin"
     with open(os.path.join(folder, name), "wb") as f:
         f.write(data)
@@ -321,9 +323,9 @@ def _encode_batches(shared, name: str, columns: str):
         for batch in batches:
             ids, texts = [], []
             for text in batch.column(1).to_pylist():
-                parts = encoder.parts(text or "")
-                ids.append(b"".join(parts))
-                texts.append(encoder.decode_parts(parts))
+                own, decoded = encoder.both(text or "")
+                ids.append(own)
+                texts.append(decoded)
             if columns == "digest":
                 sha = hashlib.sha256
                 cols = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha(x).hexdigest() for x in ids]), "decoded_sha256": pa.array([sha(x.encode()).hexdigest() for x in texts])}
@@ -334,22 +336,22 @@ def _encode_batches(shared, name: str, columns: str):
     return run
 
 
-def _apply(docs: DataFrame, id_col: str, text_col: str, path: str | None, size: int, columns: str, schema: str) -> DataFrame:
+def _apply(docs: DataFrame, id_col: str, text_col: str, path: str | None, share: float, columns: str, schema: str) -> DataFrame:
     shared = Shared(docs.sparkSession, path)
-    name = publish_lexicon(docs, shared, text_col, size)
+    name = publish_lexicon(docs, shared, text_col, share)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(_encode_batches(shared, name, columns), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, share: float = LEXICON_SHARE) -> DataFrame:
     """(id, ids, decoded) for each row's whole text. Null and empty texts have no ids and decode to the empty text."""
-    return _apply(docs, id_col, text_col, path, size, "whole", "ids array<int>, decoded string")
+    return _apply(docs, id_col, text_col, path, share, "whole", "ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, size: int = LEXICON_WORDS) -> DataFrame:
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, share: float = LEXICON_SHARE) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): what encode() gives, as a count and two digests."""
-    return _apply(docs, id_col, text_col, path, size, "digest", "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _apply(docs, id_col, text_col, path, share, "digest", "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _decode_batches(shared):

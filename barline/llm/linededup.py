@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import fresh, raw
 
-WINDOW, MIN_WORDS, LONG, CUT = 3, 12, 24, 8
+WINDOW, MIN_WORDS, LONG, CUT = 3, 8, 24, 8
 _END = re.compile(rb"[.!?\n](?:(?<=\n)\s*|[.!?]*\s+)")
 _WORD = re.compile(rb"\S+\s*")
 

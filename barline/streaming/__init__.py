@@ -1,0 +1 @@
+"""Live feeds as Structured Streaming queries over the same cores as the batch operators."""

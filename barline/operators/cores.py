@@ -413,28 +413,28 @@ def trends(rows: list[Swing]) -> list[Trend]:
 # --- recursions --------------------------------------------------------------------------------------
 
 
-def ema(values, n: int) -> list[float]:
+class Ema:
     """Exponential average with weight 2 / (n + 1), from the first value."""
-    out, weight = [], 2.0 / (n + 1)
-    for x in values:
-        out.append(x if not out else out[-1] + weight * (x - out[-1]))
-    return out
 
+    def __init__(self, n: int):
+        self.weight, self.value = 2.0 / (n + 1), None
 
-def true_ranges(highs, lows, closes) -> list[float]:
-    out, before = [], None
-    for h, l, c in zip(highs, lows, closes):
-        out.append(h - l if before is None else max(h - l, abs(h - before), abs(l - before)))
-        before = c
-    return out
+    def __call__(self, price: float) -> float:
+        self.value = price if self.value is None else self.value + self.weight * (price - self.value)
+        return self.value
 
 
-def atr(highs, lows, closes, n: int) -> list[float]:
-    """Wilder's average of true ranges, from the first one."""
-    out: list[float] = []
-    for x in true_ranges(highs, lows, closes):
-        out.append(x if not out else (out[-1] * (n - 1) + x) / n)
-    return out
+class Atr:
+    """Wilder's average of true ranges over n bars, from the first one."""
+
+    def __init__(self, n: int):
+        self.n, self.value, self.before = n, None, None
+
+    def __call__(self, high: float, low: float, close: float) -> float:
+        reach = high - low if self.before is None else max(high - low, abs(high - self.before), abs(low - self.before))
+        self.before = close
+        self.value = reach if self.value is None else (self.value * (self.n - 1) + reach) / self.n
+        return self.value
 
 
 def first_change(before: list, now: list, growth_counts: bool) -> int | None:

@@ -170,22 +170,34 @@ def first_changed(before: DataFrame, now: DataFrame, columns: list[str], growth_
     return both.groupBy(*KEYS).agg(F.min(F.when(differs, F.col("id"))).alias("backtrack_id"))
 
 
-def ema(bars: DataFrame, n: int) -> DataFrame:
-    """Exponential average of closes."""
+def _running(bars: DataFrame, columns: list[str], name: str, make) -> DataFrame:
+    """A value for each bar from a state that make() starts for each series and that takes the bars in order.
 
-    def make(f: pd.DataFrame) -> list[tuple]:
-        return list(zip(f["id"].tolist(), cores.ema(f["close_price"].tolist(), n)))
+    Rows stream through the task in order of series and id, so memory doesn't grow with a series.
+    """
 
-    return _fold(bars, ["close_price"], f"{_KEYS}, id long, ema double", make)
+    def run(frames):
+        key, step = None, None
+        for f in frames:
+            out = []
+            for row in f.itertuples(index=False, name=None):
+                if row[:3] != key:
+                    key, step = row[:3], make()
+                out.append(step(*row[4:]))
+            yield f[[*KEYS, "id"]].assign(**{name: out})
 
+    rows = bars.select(*KEYS, "id", *columns).repartition(*KEYS).sortWithinPartitions(*KEYS, "id")
+    return rows.mapInPandas(run, f"{_KEYS}, id long, {name} double")
 
-def atr(bars: DataFrame, n: int) -> DataFrame:
-    """Wilder's average true range."""
 
-    def make(f: pd.DataFrame) -> list[tuple]:
-        return list(zip(f["id"].tolist(), cores.atr(f["high_price"].tolist(), f["low_price"].tolist(), f["close_price"].tolist(), n)))
+def ema(bars: DataFrame, n: int) -> DataFrame:
+    """Exponential average of closes."""
+    return _running(bars, ["close_price"], "ema", lambda: cores.Ema(n))
+
 
-    return _fold(bars, ["high_price", "low_price", "close_price"], f"{_KEYS}, id long, atr double", make)
+def atr(bars: DataFrame, n: int) -> DataFrame:
+    """Wilder's average true range."""
+    return _running(bars, ["high_price", "low_price", "close_price"], "atr", lambda: cores.Atr(n))
 
 
 class Indicators:

@@ -84,9 +84,9 @@ def test_completed_trends_hold_a_swing_of_their_direction(seed):
 
 
 def test_averages():
-    assert cores.ema([1.0, 2.0, 3.0], 3) == [1.0, 1.5, 2.25]
-    assert cores.true_ranges([3, 5, 4], [1, 4, 1], [2, 5, 2]) == [2, 3, 4]
-    assert cores.atr([3, 5, 4], [1, 4, 1], [2, 5, 2], 2) == [2, 2.5, 3.25]
+    ema, atr = cores.Ema(3), cores.Atr(2)
+    assert [ema(x) for x in (1.0, 2.0, 3.0)] == [1.0, 1.5, 2.25]
+    assert [atr(*x) for x in ((3, 1, 2), (5, 4, 5), (4, 1, 2))] == [2, 2.5, 3.25]
 
 
 def test_first_change():

@@ -5,7 +5,8 @@ Rows are numbered from 1. Directions and fractals are coded 1, -1 and 0.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass, field, replace
 
 FORMING, PENDING, CONFIRMED = 0, 1, 2
 
@@ -67,6 +68,7 @@ class Swing:
     volume: float = 0.0
     start_oi: float = 0.0
     end_oi: float = 0.0
+    seen: tuple | None = field(default=None, repr=False, compare=False)  # start, end, high, low of the bars fitted so far
 
 
 class _Path:
@@ -97,10 +99,15 @@ class _Path:
         return best
 
     def fit(self, s: Swing) -> Swing:
-        """Price and bar ranges of all bars that the swing spans."""
-        part = self.bars[s.start - 1 : s.end]
-        s.high, s.low = max(b[2] for b in part), min(b[3] for b in part)
-        s.sbar_start, s.sbar_end = min(b[0] for b in part), max(b[1] for b in part)
+        """Price and bar ranges of all bars that the swing spans; only what is new since the last time is read."""
+        start, end, high, low = s.seen or (0, 0, 0.0, 0.0)
+        if start != s.start or end > s.end:
+            start, end, high, low = s.start, s.start, *self.bars[s.start - 1][2:4]
+        for b in self.bars[end : s.end]:
+            high, low = max(high, b[2]), min(low, b[3])
+        s.seen = start, s.end, high, low
+        s.high, s.low = high, low
+        s.sbar_start, s.sbar_end = self.bars[s.start - 1][0], self.bars[s.end - 1][1]
         return s
 
 
@@ -246,14 +253,14 @@ class _Sequence:
 
 class _Trends:
     def __init__(self, done: list[Swing]):
-        self.swings, self.at = done, {s.number: i for i, s in enumerate(done)}
+        self.swings, self.numbers = done, [s.number for s in done]
         self.rows: list[Trend] = []
         self.active, self.pullback = _Sequence(), _Sequence()
 
     # lookups
 
     def between(self, a: int, b: int) -> list[Swing]:
-        return [s for s in self.swings if a <= s.number <= b]
+        return self.swings[bisect_left(self.numbers, a) : bisect_right(self.numbers, b)]
 
     def limit(self, a: int, b: int, direction: int, highest: bool) -> Swing | None:
         """The swing of a direction with the highest high (of equals the last) or lowest low (of equals the first)."""
@@ -263,8 +270,9 @@ class _Trends:
         return max(reversed(own), key=lambda s: s.high) if highest else min(own, key=lambda s: s.low)
 
     def beside(self, number: int, by: int) -> Swing | None:
-        i = self.at.get(number)
-        return self.swings[i + by] if i is not None and 0 <= i + by < len(self.swings) else None
+        i = bisect_left(self.numbers, number)
+        known = i < len(self.numbers) and self.numbers[i] == number
+        return self.swings[i + by] if known and 0 <= i + by < len(self.swings) else None
 
     # building
 

@@ -93,6 +93,7 @@ def decide(rows: DataFrame) -> DataFrame:
     passed = (c("gate_consistency") >= 7) & ~risky
     failure = c("breakout_failure") | (behavior == "breakout_failure")
     close_first = c("prefer_close_over_open")
+    # actions and reasons are fixed values
     rules = [
         (c("cooldown_active"), "wait", "cooldown active"),
         (failure & (position == "long"), "sell", "breakout failure: close long first"),

@@ -25,9 +25,9 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import raw
+from barline.llm.common import held, slices
 
-LEXICON_SHARE, CACHE = 2.0**-20, 700_000
+LEXICON_SHARE, CACHE = 2.0**-20, 400_000
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: The tokenizer file's own split pattern, with white space spelled out.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -188,9 +188,6 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     return b"".join([*out, bytes(labels)])
 
 
-_OPEN: dict[str, object] = {}
-
-
 class Shared:
     """A tokenizer file's text for all workers, each of which parses it once."""
 
@@ -201,16 +198,22 @@ class Shared:
 
 
 def _bpe(shared: Shared) -> WordBpe:
-    if shared.key not in _OPEN:
-        _OPEN[shared.key] = WordBpe(shared.text.value)
-    return _OPEN[shared.key]
+    return held("bpe", shared.key, lambda: WordBpe(shared.text.value))
 
 
 def _lexicon(name: str) -> Lexicon:
-    if name not in _OPEN:
-        with open(SparkFiles.get(name), "rb") as f:
-            _OPEN[name] = Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-    return _OPEN[name]
+    with open(SparkFiles.get(name), "rb") as f:
+        return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+
+def _encoder(shared: Shared, name: str) -> Encoder:
+    """The worker's encoder; that of another lexicon goes."""
+    bpe = _bpe(shared)
+    kept = held("bpe", "encoder", dict)
+    if name not in kept:
+        kept.clear()
+        kept[name] = Encoder(bpe, _lexicon(name))
+    return kept[name]
 
 
 class Recent(dict):
@@ -282,7 +285,7 @@ def _count_batches(shared):
                     words[w] += n
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 counts.update((text or "").split())
             if len(counts) > CACHE:
@@ -316,11 +319,8 @@ def _encode_batches(shared, name: str, columns: str):
     """columns: digest, or whole (ids and decoded text)."""
 
     def run(batches):
-        key = ("encoder", name)
-        if key not in _OPEN:
-            _OPEN[key] = Encoder(_bpe(shared), _lexicon(name))
-        encoder = _OPEN[key]
-        for batch in batches:
+        encoder = _encoder(shared, name)
+        for batch in slices(batches):
             ids, texts = [], []
             for text in batch.column(1).to_pylist():
                 own, decoded = encoder.both(text or "")

@@ -47,6 +47,38 @@ def raw(batch: pa.RecordBatch, i: int) -> list[bytes | None]:
     return batch.column(i).cast(pa.binary()).to_pylist()
 
 
+ROWS_AT_ONCE = 2000
+_HELD: dict = {}
+
+
+def chain(*steps):
+    """Functions on batches, one after another, as one: a task then needs one Python worker."""
+
+    def run(batches):
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
+def slices(batches, rows: int = ROWS_AT_ONCE):
+    """The rows of batches in smaller ones, so that what a worker makes of a batch stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+def held(owner: str, key: str, make):
+    """What a worker keeps from one task to the next under a key; it keeps the things of one owner at a time."""
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        _HELD["owner"] = owner
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.common import fresh, raw
+from barline.llm.common import chain, fresh, held, raw, slices
 
 WINDOW, MAX_WORDS, MULTIPLIER = 13, 2_000_000, np.uint64(0x9E3779B97F4A7C15)
 _SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
@@ -82,9 +82,10 @@ def _scan_batches(shared, at: int):
     """Adds to the last two columns, hit word spans and item ids, what the shared WindowSet finds in column at."""
 
     def run(batches):
+        held("decontam", "", dict)
         found = shared.value
         known = found.vocab.get
-        for batch in batches:
+        for batch in slices(batches):
             ids, starts = [], []
             for text in raw(batch, at):
                 starts.append(len(ids))
@@ -120,14 +121,20 @@ def annotate(docs: DataFrame, bench: DataFrame, text_col: str = "text", spans: s
     Null and empty texts have no words and no spans; items without words have no windows; items of fewer words
     than a window are one window; an item with a null id is found, but a null id is never listed.
     """
-    spark = docs.sparkSession
+    out, scan = _scanned(docs, bench, text_col, spans, items, item_col, item_text, window, max_words)
+    return out.mapInArrow(scan, out.schema)
+
+
+def _scanned(docs: DataFrame, bench: DataFrame, text_col: str, spans: str = "spans", items: str = "items", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = MAX_WORDS):
+    """docs with empty columns for spans and items, and the function on its batches that fills them."""
     kind = bench.schema[item_col].dataType
     span = T.ArrayType(T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())]))
-    out = docs.withColumn(spans, F.lit(None).cast(span)).withColumn(items, F.lit(None).cast(T.ArrayType(kind)))
-    out = out.withColumn(spans, F.coalesce(spans, F.array().cast(span))).withColumn(items, F.coalesce(items, F.array().cast(T.ArrayType(kind))))
-    for found in window_sets(bench.where(F.col(item_col).isNotNull()), item_col, item_text, window, max_words):
-        out = out.mapInArrow(_scan_batches(spark.sparkContext.broadcast(found), out.columns.index(text_col)), out.schema)
-    return out
+    # coalesce() keeps the columns nullable, as what comes back from Python is
+    none = {spans: F.coalesce(F.lit(None).cast(span), F.array().cast(span)), items: F.coalesce(F.lit(None).cast(T.ArrayType(kind)), F.array().cast(T.ArrayType(kind)))}
+    out = docs.withColumns(none)
+    at, sc = out.columns.index(text_col), docs.sparkSession.sparkContext
+    sets = window_sets(bench.where(F.col(item_col).isNotNull()), item_col, item_text, window, max_words)
+    return out, chain(*[_scan_batches(sc.broadcast(found), at) for found in sets])
 
 
 def _report_batches(at: int, ids: str):
@@ -150,10 +157,10 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     A row is contaminated if n_hit > 0 and 20 * n_hit >= n_words. items_sha256 is of the sorted, comma-joined ids.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text") if text_col != "text" else F.col("text"))
-    found = annotate(rows, bench, "text", "spans", "items", **options)
+    out, scan = _scanned(rows, bench, "text", **options)
     kind = rows.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return found.mapInArrow(_report_batches(1, id_col), schema)
+    return out.mapInArrow(chain(scan, _report_batches(1, id_col)), schema)
 
 
 def _removed_batches(at: int, how: str):
@@ -183,5 +190,5 @@ def _removed_batches(at: int, how: str):
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", how: str = "documents", **options) -> DataFrame:
     """docs without contaminated rows (how="documents") or without the covered words (how="spans"); other columns as they are."""
     spans, items = fresh(docs, "spans", "items")
-    found = annotate(docs, bench, text_col, spans, items, **options)
-    return found.mapInArrow(_removed_batches(docs.columns.index(text_col), how), docs.schema)
+    out, scan = _scanned(docs, bench, text_col, spans, items, **options)
+    return out.mapInArrow(chain(scan, _removed_batches(docs.columns.index(text_col), how)), docs.schema)

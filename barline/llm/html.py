@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut, small
+from barline.llm.common import cut, held, slices, small
 
 MIN_PAGES, MIN_SHARE, BOX_WORDS, HOSTS_AT_ONCE = 5, 0.1, 40, 200_000
 
@@ -151,7 +151,8 @@ class Page:
 
 
 def _tree_batches(batches):
-    for batch in batches:
+    held("html", "", dict)
+    for batch in slices(batches):
         hosts, hashes = [], []
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for h in Page(text or "").countable():
@@ -176,7 +177,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", mi
 
 
 def _text_batches(batches):
-    for batch in batches:
+    held("html", "", dict)
+    for batch in slices(batches):
         texts = [Page(h or "").text(set(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["id", "url", "text", "n_chars"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import held_out
+from barline.llm.common import held, held_out, slices
 
 DOCS_PER_LANG, SMOOTHING, PENALTY, ROUNDS, CACHE, WORDS_AT_ONCE = 1000, 0.5, 3.0, 10, 300_000, 250_000
 UNKNOWN = "und"
@@ -117,6 +117,7 @@ class _Words(dict):
 
 def _predict_batches(shared):
     def run(batches):
+        held("langid", "", dict)
         model: Model = shared.value
         words, table = _Words(), np.empty((0, model.logp.shape[1]))
 
@@ -127,22 +128,22 @@ def _predict_batches(shared):
                 out[full] = mixtures(table[np.concatenate(docs)], sizes[full])
             return out
 
-        for batch in batches:
-            found, docs, held = [], [], 0
+        for batch in slices(batches):
+            found, docs, waiting = [], [], 0
             for text in [*batch.column(1).to_pylist(), None]:
                 last = len(docs) + sum(map(len, found)) == batch.num_rows
-                if held > WORDS_AT_ONCE or last:
+                if waiting > WORDS_AT_ONCE or last:
                     if words.new:
                         table = np.concatenate((table, model.score(words.new)))
                         words.new = []
                     found.append(shares(docs))
-                    docs, held = [], 0
+                    docs, waiting = [], 0
                     if len(words) > CACHE:
                         words, table = _Words(), table[:0]
                 if not last:
                     own = np.array(list(map(words.__getitem__, (text or "").split())), dtype=np.int64)
                     docs.append(own[own >= 0])
-                    held += len(docs[-1])
+                    waiting += len(docs[-1])
             share = np.concatenate(found) if found else np.zeros((0, 1))
             score = share.max(axis=1)
             top = share.argmax(axis=1)
@@ -202,7 +203,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def _keep_batches(shared, at: int, min_score: float):
     def run(batches):
-        ours, theirs = tee(batches)
+        ours, theirs = tee(slices(batches))
         slim = (pa.RecordBatch.from_arrays([pa.array(range(x.num_rows)), x.column(at), pa.nulls(x.num_rows, pa.bool_())], names=["id", "text", "held_out"]) for x in theirs)
         for batch, found in zip(ours, _predict_batches(shared)(slim)):
             keep = [lang != UNKNOWN and score >= min_score for lang, score in zip(found.column(2).to_pylist(), found.column(3).to_pylist())]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut, fresh, raw
+from barline.llm.common import cut, fresh, held, raw, slices
 from barline.llm.components import components
 
 SHINGLE, RADIUS, SEED, PIVOTS, HOT = 4, 4, 42, 16, 8192
@@ -56,7 +56,8 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _fingerprint_batches(shingle: int):
     def run(batches):
-        for batch in batches:
+        held("simhash", "", dict)
+        for batch in slices(batches):
             hashes, sizes, done = [], [], []
             for text in raw(batch, 1):
                 own = _shingle_hashes(text, shingle)

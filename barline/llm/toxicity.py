@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import held_out, small
+from barline.llm.common import held, held_out, slices, small
 
 DISCOUNT, WORD_BITS, PAIR_BITS, CONTEXT_BITS = 0.75, 20, 15, 6
 CALIBRATION_ROWS, CALIBRATION_FOLD, LABELS_AT_ONCE, CACHE = 20_000, 4, 2_000_000, 300_000
@@ -52,6 +52,7 @@ def pairs_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_batches(batches):
+    held("toxicity", "", dict)
     hashes = Hashes()
     for batch in batches:
         toxic, found = batch.column(0).to_pylist(), []
@@ -126,8 +127,9 @@ class Model:
 
 def _feature_batches(shared, scored: bool):
     def run(batches):
+        held("toxicity", "", dict)
         model, hashes = shared.value, Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             words = [hashes.of(t) for t in batch.column(1).to_pylist()]
             rows = np.array([model.features(w) for w in words]).reshape(-1, 7)
             if scored:

@@ -184,7 +184,7 @@ def test_token_counts_are_those_of_a_unigram_library():
     counter, rng = tokencount.TrieCounter(pieces), random.Random(9)
     words = {"▁" + "".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(1, 12))) for _ in range(300)}
     found = counter.count(list(words))
-    assert sum(found[w] == len(model.encode(w).ids) for w in words) >= 299  # sums of floats may tie otherwise
+    assert sum(found[w] == len(model.encode(w).ids) for w in words) >= len(words) - 1  # sums of floats may tie otherwise
 
 
 # --- BPE

@@ -4,8 +4,11 @@ Writing: a row of text is a record, the record separator is the line separator,
 WARC/1.1 file. Records whose payload another record already holds are revisits.
 
 Reading: tasks take byte ranges of the archives and emit, for every place where the record magic stands and a
-header parses, the candidate's offset and that of its successor, together with what the record says. Pointer jumping
-from offset 0 of each file, in Spark, then keeps the reachable candidates; magic inside a payload is never reached.
+header parses, the candidate's offset and that of its successor, together with what the record says. Inside a range
+a task follows the successors itself: each candidate gets the offset at which its chain leaves the range, and its
+interval in the tree of chains. Pointer jumping over those exits, from offset 0 of each file, finds where the chain
+enters each range, in rounds that grow with the logarithm of a file's ranges; the candidates on the chain from there
+are the records. Magic inside a payload is never reached.
 """
 
 from __future__ import annotations
@@ -112,18 +115,50 @@ def candidates_of(file, start: int, end: int, size: int):
         at = data.find(MAGIC, at + 1)
 
 
-_CANDIDATE = "file long, at long, next long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, found_digest string, found_bytes long"
+def chains(steps: dict[int, int], end: int) -> dict[int, tuple[int | None, int, int]]:
+    """Of each candidate of a range that ends at `end`: exit, and interval in the tree in which successors are parents.
+
+    The chain from a candidate visits those whose interval holds the candidate's first number. A chain that runs into
+    a place in the range without a candidate has no exit.
+    """
+    out: dict[int, tuple[int | None, int, int]] = {}
+    below: dict[int, list[int]] = {}
+    exits: dict[int, int | None] = {}
+    for at in sorted(steps, reverse=True):
+        after = steps[at]
+        exits[at] = after if after >= end else exits.get(after)
+        if after in steps:
+            below.setdefault(after, []).append(at)
+    first: dict[int, int] = {}
+    n = 0
+    for top in (at for at in steps if steps[at] not in steps):
+        todo = [top]
+        while todo:
+            at = todo.pop()
+            if at >= 0:
+                first[at] = n
+                n += 1
+                todo.append(~at)  # when it comes up again, all below it have their numbers
+                todo += below.get(at, [])
+            else:
+                out[~at] = exits[~at], first[~at], n
+    return out
+
+
+_CANDIDATE = "file long, range long, at long, exit long, first long, last long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, found_digest string, found_bytes long"
 
 
 def _scan_batches(batches):
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    names = [x.split()[0] for x in _CANDIDATE.split(", ")]
+    names, kinds = zip(*(x.split() for x in _CANDIDATE.split(", ")))
+    types = [pa.string() if k == "string" else pa.int64() for k in kinds]
     for batch in batches:
         for name, path, start, end, size in zip(*(batch.column(i).to_pylist() for i in range(5))):
             with _open(path) as file:
-                rows = [(name, *x) for x in candidates_of(file, start, end, size)]
+                found = list(candidates_of(file, start, end, size))
+            chain = chains({x[0]: x[1] for x in found}, end)
+            rows = [(name, start, x[0], *chain[x[0]], *x[2:]) for x in found]
             cols = zip(*rows) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=list(names))
 
 
 def candidates(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
@@ -136,11 +171,11 @@ def candidates(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     return ranges.repartition(max(1, total // (2 * size))).mapInArrow(_scan_batches, _CANDIDATE)
 
 
-def reachable(steps: DataFrame) -> DataFrame:
-    """The (file, at) of steps(file, at, next) that a chain from at = 0 of the file reaches, by pointer jumping."""
-    jump = cut(steps.select("file", "at", F.col("next").alias("to")).distinct())
-    found = jump.where("at = 0").select("file", "at")
-    longest = jump.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+def entries(steps: DataFrame) -> DataFrame:
+    """The (file, at) of steps(file, range, at, exit) where the chain from at = 0 enters a range, by pointer jumping."""
+    jump = cut(steps.where("exit is not null").select("file", "at", F.col("exit").alias("to")))
+    found = cut(steps.where("at = 0").select("file", "at"))
+    longest = steps.groupBy("file").agg(F.count_distinct("range").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(max(0, int(longest - 1).bit_length())):
         further = found.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
         found = cut(found.unionByName(further).distinct())
@@ -149,13 +184,19 @@ def reachable(steps: DataFrame) -> DataFrame:
     return found
 
 
+def reachable(found: DataFrame) -> DataFrame:
+    """The candidates on the chains from the files' starts."""
+    ways = found.join(entries(found), ["file", "at"]).select("file", "range", F.col("first").alias("entered"))
+    return found.join(ways, ["file", "range"]).where("first <= entered and entered < last").drop("entered")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record that the files' chains reach.
 
     A response whose payload doesn't have the digest that its header tells is an error. No archives: no rows.
     """
     all_found = cut(candidates(spark, path))
-    kept = all_found.join(reachable(all_found), ["file", "at"], "left_semi")
+    kept = reachable(all_found)
     wrong = (F.col("record_type") == "response") & ((F.col("found_digest") != F.col("payload_digest")) | (F.col("found_bytes") != F.col("payload_bytes")))
     digest = F.when(wrong, F.raise_error(F.lit("a payload doesn't have its digest"))).otherwise(F.col("payload_digest"))
     return kept.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")

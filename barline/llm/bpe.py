@@ -17,6 +17,7 @@ import unicodedata
 import uuid
 from array import array
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import held, slices
 
-LEXICON_SHARE, CACHE = 2.0**-20, 400_000
+LEXICON_SHARE, CACHE = 2.0**-20, 600_000
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: The tokenizer file's own split pattern, with white space spelled out.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_BITS, _NONE = 20, 1 << 60
+_BITS, _NONE, _MARKS = 20, 1 << 60, frozenset(".,;:!?")
 _MASK = (1 << _BITS) - 1
 _ODD_SPLIT = regex.compile(r"[\x1c-\x1f]")
 
@@ -60,17 +61,23 @@ class WordBpe:
         #: For a pair of ids, as one number: rank and id of what it merges to, as one number.
         self.pairs = {self.ids[x] << _BITS | self.ids[y]: i << _BITS | self.ids[x + y] for i, (x, y) in reversed(list(enumerate(merges)))}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.table = np.array([tokens.get(i) for i in range(max(tokens, default=-1) + 1)], dtype=object)
+        self.dense = len(tokens) == len(self.table)
         self.inner = [self.ids.get(c) for c in byte_symbols()]
         self.last = [self.ids.get(c + self.suffix) for c in byte_symbols()]
         self._special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def words(self, text: str) -> list[str]:
         """Normalised pre-tokens of a text without special tokens."""
-        if text.isascii():
-            text = text.lower()
-            return [text] if text.isalpha() else _WORD.findall(text)
-        return _WORD.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        if text.isalpha():
+            return [text]
+        if text[-1:] in _MARKS and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return _WORD.findall(text)
 
     def merge(self, word: str) -> list[int]:
         """Ids of one pre-token, by the merges in order of rank, leftmost first."""
@@ -81,12 +88,12 @@ class WordBpe:
         ranks = [get(x << _BITS | y, _NONE) for x, y in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < _NONE:
             i = ranks.index(best)
-            parts[i : i + 2] = [best & _MASK]
-            del ranks[i]
+            new = parts[i] = best & _MASK
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(parts[i - 1] << _BITS | parts[i], _NONE)
+                ranks[i - 1] = get(parts[i - 1] << _BITS | new, _NONE)
             if i < len(ranks):
-                ranks[i] = get(parts[i] << _BITS | parts[i + 1], _NONE)
+                ranks[i] = get(new << _BITS | parts[i + 1], _NONE)
         return parts
 
     def pieces(self, text: str) -> list[tuple[str, int | None]]:
@@ -97,8 +104,11 @@ class WordBpe:
 
     def decode(self, ids) -> str:
         """As a tokenizer without a decoder: tokens joined by spaces; ids outside the vocabulary give nothing."""
-        tokens = self.tokens
-        return " ".join([tokens[i] for i in ids if i in tokens])
+        ids = np.asarray(ids, dtype=np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.table)):
+            ids = ids[(ids >= 0) & (ids < len(self.table))]
+        tokens = self.table[ids].tolist()
+        return " ".join(tokens if self.dense else [t for t in tokens if t is not None])
 
 
 class Lexicon:
@@ -106,7 +116,7 @@ class Lexicon:
 
     def __init__(self, buffer):
         head = np.frombuffer(buffer, dtype="<i8", count=5)
-        n_states, n_edges, n_words, n_ids, _ = head.tolist()
+        n_states, n_edges, n_words, n_ids, filter_bytes = head.tolist()
         at = 40
 
         view = memoryview(buffer)
@@ -121,11 +131,15 @@ class Lexicon:
         self.first, self.target = part("i", n_states + 1), part("i", n_edges)
         self.before, self.final = part("i", n_edges), part("B", n_states)
         self.offsets, self.ids = part("i", n_words + 1), part("I", n_ids)
+        self.filter, self.mask = part("B", filter_bytes), 8 * filter_bytes - 1
         self.labels_at, self.buffer = at, buffer
         self.n_states, self.n_words = n_states, n_words
 
     def number(self, word: bytes) -> int:
-        """The word's number among the sorted words, or -1."""
+        """The word's number among the sorted words, or -1; most words that aren't among them fail the filter at once."""
+        h = crc32(word) & self.mask
+        if not self.filter[h >> 3] >> (h & 7) & 1:
+            return -1
         state, number, find, base, first = 0, 0, self.buffer.find, self.labels_at, self.first
         for i in range(len(word)):
             edge = find(word[i : i + 1], base + first[state], base + first[state + 1]) - base
@@ -182,8 +196,12 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     ids = [entries[w] for w in words]
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
     flat = np.array([i for x in ids for i in x], dtype="<u4")
-    out = [np.array([len(order), len(target), len(words), len(flat), 0], dtype="<i8").tobytes()]
-    for a in (np.array(first, "<i4"), np.array(target, "<i4"), np.array(before, "<i4"), np.array([edges[s][0] for s in order], "u1"), offsets.astype("<i4"), flat):
+    marks = bytearray(1 << max(3, (2 * len(words)).bit_length()))
+    for w in words:
+        h = crc32(w) & (8 * len(marks) - 1)
+        marks[h >> 3] |= 1 << (h & 7)
+    out = [np.array([len(order), len(target), len(words), len(flat), len(marks)], dtype="<i8").tobytes()]
+    for a in (np.array(first, "<i4"), np.array(target, "<i4"), np.array(before, "<i4"), np.array([edges[s][0] for s in order], "u1"), offsets.astype("<i4"), flat, np.frombuffer(marks, "u1")):
         out.append(a.tobytes() + b"\0" * (-a.nbytes % 8))
     return b"".join([*out, bytes(labels)])
 
@@ -239,38 +257,36 @@ class Recent(dict):
 class Encoder:
     """Texts to ids and back: by white-space chunk from a cache, else by word from the lexicon, else by merging.
 
-    A part of a text is its ids, as little-endian unsigned 32-bit integers, with what decode() gives for them.
+    Ids are little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None = None):
         self.bpe, self.lexicon = bpe, lexicon
         self.by_chunk, self.by_word = Recent(self._whole), Recent(self._word)
 
-    def _word(self, word: str) -> tuple[bytes, str]:
+    def _word(self, word: str) -> bytes:
         found = self.lexicon.get(word.encode()) if self.lexicon else None
-        ids = array("I", found if found is not None else self.bpe.merge(word))
-        return ids.tobytes(), self.bpe.decode(ids)
+        return found if found is not None else array("I", self.bpe.merge(word)).tobytes()
 
-    def _whole(self, text: str) -> tuple[bytes, str]:
+    def _whole(self, text: str) -> bytes:
         words = self.bpe.words(text)
         if len(words) == 1:
             return self.by_word[words[0]]
-        parts = [self.by_word[w] for w in words]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+        return b"".join([self.by_word[w] for w in words])
 
-    def both(self, text: str) -> tuple[bytes, str]:
-        """The text's ids and their decoding."""
+    def ids(self, text: str) -> bytes:
+        """The text's ids."""
         self.by_chunk.trim()
         self.by_word.trim()
         out, by_chunk = [], self.by_chunk
         for piece, special in self.bpe.pieces(text):
             if special is not None:
-                out.append((special.to_bytes(4, "little"), self.bpe.decode([special])))
+                out.append(special.to_bytes(4, "little"))
             elif _ODD_SPLIT.search(piece):
                 out.append(self._whole(piece))
             else:
                 out += [by_chunk[c] for c in piece.split()]
-        return b"".join([p[0] for p in out]), " ".join([p[1] for p in out if p[0]])
+        return b"".join(out)
 
 
 def _count_batches(shared):
@@ -323,9 +339,8 @@ def _encode_batches(shared, name: str, columns: str):
         for batch in slices(batches):
             ids, texts = [], []
             for text in batch.column(1).to_pylist():
-                own, decoded = encoder.both(text or "")
-                ids.append(own)
-                texts.append(decoded)
+                ids.append(encoder.ids(text or ""))
+                texts.append(encoder.bpe.decode(np.frombuffer(ids[-1], dtype="<u4")))
             if columns == "digest":
                 sha = hashlib.sha256
                 cols = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha(x).hexdigest() for x in ids]), "decoded_sha256": pa.array([sha(x.encode()).hexdigest() for x in texts])}

@@ -1,8 +1,8 @@
 """Line deduplication by overlapping three-line windows.
 
-A text is cut in lines: at line ends, after sentence ends, and, where a sentence is longer than `LONG` words, after
-words picked by their hash, so that a repeated passage is cut alike wherever it stands. Every three consecutive
-lines are a window. Of a window that several documents have, the smallest id's stays, and inside a document the
+A text is cut in lines: at line ends, after sentence ends (but for sentences of fewer than `SHORT` words, which the
+next one joins), and, where that leaves more than `LONG` words, at word ends that the letters around them pick. So a
+repeated passage is cut alike wherever it stands. Every three consecutive lines are a window. Of a window that several documents have, the smallest id's stays, and inside a document the
 first; the positions that all other occurrences cover are merged and removed.
 """
 
@@ -12,30 +12,44 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import fresh, raw
+from barline.llm.common import fresh, held, raw, slices
 
-WINDOW, MIN_WORDS, LONG, CUT = 3, 8, 24, 8
+WINDOW, MIN_WORDS, SHORT, LONG = 3, 8, 6, 16
+SALTS = 64
 _END = re.compile(rb"[.!?\n](?:(?<=\n)\s*|[.!?]*\s+)")
-_WORD = re.compile(rb"\S+\s*")
+
+
+
+def _some(step: int, *at: int) -> bytes:
+    """A class of the bytes beyond white space that leave one of the remainders; both cases of a letter or none."""
+    return b"[" + b"".join(b"\\x%02x" % b for b in range(0x21, 0x100) if b % step in at) + b"]"
+
+
+#: Every seventh word end or so of a long line.
+_CUT = re.compile(_some(2, 0) + rb"\s+(?=" + _some(8, 1, 7) + b")")
 
 
 def lines_of(text: bytes) -> list[bytes]:
     """The lines of a text with what separates them; joined they are the text."""
-    out, start = [], 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+    out, start, last = [], 0, len(text)
+    for end in [*(m.end() for m in _END.finditer(text)), last]:
         line = text[start:end]
-        if line.count(b" ") < LONG:
+        n = line.count(b" ")
+        if n < SHORT and end < last and b"\n" not in line:
+            continue
+        if n < LONG:
             if line:
                 out.append(line)
         else:
-            for m in _WORD.finditer(text, start, end):
-                if m.end() == end or xxhash.xxh32_intdigest(m[0].rstrip().lower()) % CUT == 0:
-                    out.append(text[start : m.end()])
-                    start = m.end()
+            for m in _CUT.finditer(text, start, end):
+                out.append(text[start : m.end()])
+                start = m.end()
+            out.append(text[start:end])
         start = end
     return out
 
@@ -48,9 +62,9 @@ def windows_of(texts: list[bytes], window: int = WINDOW, min_words: int = MIN_WO
     hashes, words, of = [], [], []
     digest = xxhash.xxh64_intdigest
     for k, text in enumerate(texts):
-        lines = lines_of(text.lower())
-        hashes += [digest(x.strip()) for x in lines]
-        words += [x.strip().count(b" ") + 1 for x in lines]
+        lines = [x.strip() for x in lines_of(text.lower())]
+        hashes += [digest(x) for x in lines]
+        words += [x.count(b" ") + 1 for x in lines]
         of += [k] * len(lines)
     h, n, of = np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(of, dtype=np.int64)
     size = max(0, len(h) - window + 1)
@@ -73,7 +87,8 @@ def _window_batches(window: int, min_words: int):
     """h, id, and the text's version, the covered span's start and length and whether the text had the window before."""
 
     def run(batches):
-        for batch in batches:
+        held("linededup", "", dict)
+        for batch in slices(batches):
             text, place, key, first = windows_of([t or b"" for t in raw(batch, 2)], window, min_words)
             version = batch.column(1).to_numpy()[text].astype(np.int64)
             start = np.where(first < 0, place, np.maximum(place, first + window))
@@ -96,26 +111,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _remove_batches(at: int, counted: bool):
-    """Without the covered lines of column at; the last column has the spans. counted: with two columns of counts."""
+    """Without the covered lines of column at; the last column has the spans. counted: with the number of lines removed."""
 
     def run(batches):
-        for batch in batches:
-            texts, spans = raw(batch, at), batch.column(batch.num_columns - 1).to_pylist()
-            n_lines, n_removed = [0] * len(texts), [0] * len(texts)
-            for k, text in enumerate(texts):
-                if text and (counted or spans[k]):
-                    lines, done, out = lines_of(text), 0, []
-                    n_lines[k] = len(lines)
-                    for s, e in merged([(x["s"], x["e"]) for x in spans[k] or ()]):
+        for batch in slices(batches):
+            spans = batch.column(batch.num_columns - 1).to_pylist()
+            text, n_removed = batch.column(at), [0] * len(spans)
+            cut = [k for k, own in enumerate(spans) if own]
+            if cut:
+                rows = pa.array(cut)
+                kept = []
+                for k, whole in zip(cut, text.take(rows).cast(pa.binary()).to_pylist()):
+                    lines, done, out = lines_of(whole), 0, []
+                    for s, e in merged([(x["s"], x["e"]) for x in spans[k]]):
                         out += lines[done:s]
                         done = e
                         n_removed[k] += e - s
-                    if n_removed[k]:
-                        texts[k] = b"".join([*out, *lines[done:]]).rstrip()
-            cols = [pa.array(texts, pa.binary()).cast(c.type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
+                    kept.append(b"".join([*out, *lines[done:]]).rstrip())
+                here = np.zeros(len(spans), dtype=bool)
+                here[cut] = True
+                text = pc.replace_with_mask(text, pa.array(here), pa.array(kept, pa.binary()).cast(text.type))
+            cols = [text if i == at else c for i, c in enumerate(batch.columns[:-1])]
+            names = batch.schema.names[:-1]
             if counted:
-                cols += [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], *(["n_lines", "n_removed"] if counted else [])])
+                cols, names = [*cols, pa.array(n_removed, pa.int64())], [*names, "n_removed"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
@@ -123,7 +143,7 @@ def _remove_batches(at: int, counted: bool):
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, counted: bool = False) -> DataFrame:
     """docs with later occurrences of repeated windows cut out of the text; other columns as they are.
 
-    counted adds n_lines (before) and n_removed, and needs docs without columns of these names. Null texts stay null;
+    counted adds n_removed, the number of lines cut, and needs docs without a column of this name. Null texts stay null;
     texts of fewer lines than a window are never changed; a text may become empty. Rows of equal id are one document
     to each other: what they share stays in each. Null ids come last, and windows that only they have stay in all of
     them. In a run of one line repeated, the first window's lines stay.
@@ -132,16 +152,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(version, F.hash(F.col(text_col)))
     rows = keyed.select(F.col(id_col).alias("id"), F.col(version).alias("version"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_window_batches(window, min_words), f"h long, id {kind}, packed long")
-    again = F.col("packed").bitwiseAND(1)
-    spread = found.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.count("id").alias("known"), F.max(again).alias("again"))
-    spread = spread.where("first <> last or (known > 0 and known < n) or again = 1").select("h", "first")
-    later = found.join(spread, "h").where((again == 1) | ~F.col("id").eqNullSafe(F.col("first")))
-    start = F.shiftright("packed", 8).bitwiseAND((1 << 24) - 1).cast("int")
+    found = rows.mapInArrow(_window_batches(window, min_words), f"h long not null, id {kind}, packed long not null")
     length = F.shiftright("packed", 1).bitwiseAND(127).cast("int")
+    # The windows are shuffled once, by hash and salt, and that exchange is used twice: to count, and to find what to
+    # remove. So the occurrences of a frequent window are dealt out to many tasks, and Python runs once. The count is
+    # put together by hash from a row for each salt; a mask tells the salts that a repeated window has to go to.
+    dealt = found.withColumn("salt", F.hash("id").bitwiseAND(SALTS - 1)).repartition("h", "salt")
+    part = dealt.groupBy("h", "salt").agg(F.min("id").alias("first"), F.count_if(length > 0).alias("n"))
+    mask = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
+    whole = part.groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n"), mask).where("n > 1")
+    salts = F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(mask, s) & 1) = 1)")
+    copies = whole.select("h", "first", F.explode(salts).alias("salt"))
+    # the build sides have a row for each key, so the other sides needn't be sorted
+    joined = dealt.join(copies.hint("shuffle_hash"), ["h", "salt"])
+    later = joined.where((F.col("packed").bitwiseAND(1) == 1) | ~F.col("id").eqNullSafe(F.col("first")))
+    start = F.shiftright("packed", 8).bitwiseAND((1 << 24) - 1).cast("int")
     span = later.select(F.col("id").alias(of_id), F.shiftright("packed", 32).cast("int").alias(of_version), F.struct(start.alias("s"), (start + length).alias("e")).alias("span"))
     covered = span.groupBy(of_id, of_version).agg(F.collect_set("span").alias(spans))
-    ours = keyed.join(covered, F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(version) == F.col(of_version)), "left")
+    ours = keyed.join(covered.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(of_id)) & (F.col(version) == F.col(of_version)), "left")
     ours = ours.select(*docs.columns, spans)
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_lines long", "n_removed long"] * counted
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["n_removed long"] * counted
     return ours.mapInArrow(_remove_batches(docs.columns.index(text_col), counted), ", ".join(types))

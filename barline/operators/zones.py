@@ -34,7 +34,8 @@ def zones(swing_rows: DataFrame, trend_rows: DataFrame | None, bars: DataFrame,
     if trend_rows is not None:
         found = found.unionByName(candidates(trend_rows, "trend", newest))
     order = W.partitionBy(*KEYS).orderBy("origin_type", "place")
-    found = found.withColumn("zone_id", F.row_number().over(order).cast("int")).drop("place")
+    # at most 2 * newest rows a series, used several times below, and costly where the segments come from folds
+    found = found.withColumn("zone_id", F.row_number().over(order).cast("int")).drop("place").persist()
     place = F.row_number().over(W.partitionBy(*KEYS).orderBy(F.desc("id")))
     recent = bars.withColumn("place", place).where(F.col("place") <= scope_bars).drop("place")
     return refine(found, recent)

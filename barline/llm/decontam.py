@@ -39,7 +39,9 @@ class WindowSet:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
             n = min(window, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
-                self.owners[tuple(ids[i : i + n])].add(item)
+                own = self.owners[tuple(ids[i : i + n])]
+                if item is not None:
+                    own.add(item)
         by_length = defaultdict(list)
         for gram in self.owners:
             by_length[len(gram)].append(gram)
@@ -61,7 +63,7 @@ class WindowSet:
                 own = self._hash(ids, starts, n)
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 for s in starts[known[at] == own].tolist():
-                    if items := self.owners.get(tuple(ids[s : s + n].tolist())):
+                    if (items := self.owners.get(tuple(ids[s : s + n].tolist()))) is not None:
                         yield s, n, items
 
 
@@ -133,7 +135,7 @@ def _scanned(docs: DataFrame, bench: DataFrame, text_col: str, spans: str = "spa
     none = {spans: F.coalesce(F.lit(None).cast(span), F.array().cast(span)), items: F.coalesce(F.lit(None).cast(T.ArrayType(kind)), F.array().cast(T.ArrayType(kind)))}
     out = docs.withColumns(none)
     at, sc = out.columns.index(text_col), docs.sparkSession.sparkContext
-    sets = window_sets(bench.where(F.col(item_col).isNotNull()), item_col, item_text, window, max_words)
+    sets = window_sets(bench, item_col, item_text, window, max_words)
     return out, chain(*[_scan_batches(sc.broadcast(found), at) for found in sets])
 
 

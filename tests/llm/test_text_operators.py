@@ -113,6 +113,14 @@ def test_decontamination_edits(spark, bench, odd_docs, empty_docs):
         assert decontam.report(rows, items.limit(0)).where("n_items > 0").count() == 0
 
 
+def test_decontamination_counts_items_of_null_id(spark):
+    items = spark.createDataFrame([(None, "one two three"), (7, "four five six")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "one two three"), (2, "a one two three four five six"), (3, "none of these")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontam.report(docs, items).collect()}
+    assert found == {1: (3, 0, True), 2: (6, 1, True), 3: (0, 0, False)}
+    assert [r[0] for r in rows_of(decontam.decontaminate(docs, items))] == [3]
+
+
 # --- line deduplication
 
 

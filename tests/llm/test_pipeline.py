@@ -80,3 +80,28 @@ def test_language_stage_learns_only_from_what_it_is_given(spark, folder):
     path, _, _ = folder
     model = langid.fit(spark.read.parquet(f"{path}/documents.parquet"))
     assert model.langs == ["en", "fr"]
+
+
+def test_near_dedup_stage_finds_every_similar_pair(spark, tmp_path):
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    rng, texts = random.Random(31), []
+    for i in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 300))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            for at in rng.sample(range(len(other)), rng.randrange(1, max(2, len(other) // 30))):
+                other[at] = "changed"
+            texts.append(" ".join(other))
+    common = " ".join(f"c{k}" for k in range(20))
+    texts += [common + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(30)) for _ in range(40)]
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    likeness = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(texts)) for a in range(b)}
+    assert sum(0.8 <= x < 0.95 for x in likeness.values()) > 40 and sum(0.6 < x < 0.8 for x in likeness.values()) > 10
+    for a, b in (p for p, x in likeness.items() if x >= 0.8):
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r[0] for r in pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == sorted(set(root))

@@ -1,9 +1,11 @@
 """Line deduplication by overlapping three-line windows.
 
-A text is cut in lines: at line ends, after sentence ends (but for sentences of fewer than `SHORT` words, which the
-next one joins), and, where that leaves more than `LONG` words, at word ends that the letters around them pick. So a
-repeated passage is cut alike wherever it stands. Every three consecutive lines are a window. Of a window that several documents have, the smallest id's stays, and inside a document the
-first; the positions that all other occurrences cover are merged and removed.
+A text is cut in lines: at line ends, after sentence ends, and, where a sentence has more than `LONG` words, after the
+word of smallest hash of every `LONG` consecutive words of it. Only the words around a place decide whether a line ends
+there, whatever the script, and no line has more than `LONG` words, so a repeated passage of over 4 `LONG` + 2 words has
+three whole lines wherever it stands. Every three consecutive lines
+are a window. Of a window that several documents have, the smallest id's stays, and inside a document the first;
+the positions that all other occurrences cover are merged and removed.
 """
 
 from __future__ import annotations
@@ -19,38 +21,60 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import fresh, held, raw, slices
 
-WINDOW, MIN_WORDS, SHORT, LONG = 3, 8, 6, 16
-SALTS = 64
+WINDOW, MIN_WORDS, LONG = 3, 8, 12
+SALTS, CACHE = 64, 200_000
 _END = re.compile(rb"[.!?\n](?:(?<=\n)\s*|[.!?]*\s+)")
+_WORD = re.compile(rb"\s*\S+\s*")
 
 
+class Hashes(dict):
+    """32-bit hashes of words, case and what separates them aside."""
 
-def _some(step: int, *at: int) -> bytes:
-    """A class of the bytes beyond white space that leave one of the remainders; both cases of a letter or none."""
-    return b"[" + b"".join(b"\\x%02x" % b for b in range(0x21, 0x100) if b % step in at) + b"]"
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        out = self[word] = xxhash.xxh32_intdigest(word.strip().lower())
+        return out
 
 
-#: Every seventh word end or so of a long line.
-_CUT = re.compile(_some(2, 0) + rb"\s+(?=" + _some(8, 1, 7) + b")")
+_HASHES = Hashes()
+
+
+def cuts(hashes: list[int]) -> list[int]:
+    """Places of the last smallest hash of every LONG consecutive ones, in order."""
+    out, least = [], -1
+    for i in range(len(hashes) - LONG + 1):
+        last = i + LONG - 1
+        if least < i:
+            low = min(hashes[i : last + 1])
+            least = last
+            while hashes[least] != low:
+                least -= 1
+        elif hashes[last] <= hashes[least]:
+            least = last
+        else:
+            continue
+        out.append(least)
+    return out
 
 
 def lines_of(text: bytes) -> list[bytes]:
     """The lines of a text with what separates them; joined they are the text."""
-    out, start, last = [], 0, len(text)
-    for end in [*(m.end() for m in _END.finditer(text)), last]:
+    out, start = [], 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         line = text[start:end]
-        n = line.count(b" ")
-        if n < SHORT and end < last and b"\n" not in line:
-            continue
-        if n < LONG:
-            if line:
-                out.append(line)
-        else:
-            for m in _CUT.finditer(text, start, end):
-                out.append(text[start : m.end()])
-                start = m.end()
-            out.append(text[start:end])
         start = end
+        # as many words need at least twice as many bytes
+        if len(line) > 2 * LONG and len(line.split()) > LONG:
+            words = _WORD.findall(line)
+            done = 0
+            for at in cuts([_HASHES[w] for w in words]):
+                out.append(b"".join(words[done : at + 1]))
+                done = at + 1
+            if done < len(words):
+                out.append(b"".join(words[done:]))
+        elif line:
+            out.append(line)
     return out
 
 

@@ -171,6 +171,29 @@ def test_line_dedup_odd_rows(odd_docs, empty_docs):
     assert linededup.dedup_lines(odd_docs.select("doc_id", "text"), counted=True).where("n_removed > 0").count() > 0
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "àâçéèêëîïôûùüÿœ", "абвгдежзиклмнопрст"])
+@pytest.mark.parametrize("most", [2, 5, 12, 16, 60])
+def test_lines_of_a_passage_are_alike_wherever_it_stands(letters, most):
+    rng = random.Random(most)
+
+    def words(n):
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(n)]
+
+    for _ in range(50):
+        passage, left = [], 51
+        while left:
+            own = words(min(left, rng.randrange(1, most + 1)))
+            left -= len(own)
+            own[-1] += rng.choice(".!?")
+            passage += own
+        passage = " ".join(passage if rng.random() < 0.5 else [*passage[:-1], passage[-1][:-1]])
+        places = ["", "Yes. ", "  ", *(" ".join(words(rng.randrange(1, 30))) + rng.choice([" ", ". ", "\n"]) for _ in range(3))]
+        texts = [(p + passage + rng.choice(["", "\n", " ", ". "]) + " ".join(words(rng.randrange(20)))).encode() for p in places]
+        of, _, keys, _ = linededup.windows_of(texts, min_words=1)
+        assert all(b"".join(linededup.lines_of(t)) == t for t in texts)
+        assert set.intersection(*(set(keys[of == k].tolist()) for k in range(len(texts))))
+
+
 # --- tokens
 
 

@@ -8,8 +8,8 @@ Words (their letters, in lower case) follow a context, a hash class of the word
 where n counts documents, t counts distinct followers, and q(w), shared by both classes, is in proportion to the
 number of contexts that w has in either class: rare words back off to the same value and so decide nothing.
 Log-likelihood differences, length-normalised and as the excess of the strongest words, go through a logistic
-calibration. Counts come from all labelled rows, in hashed tables of fixed size, so the model's size is bounded
-whatever the corpus; the calibration is fitted on a sample of labelled rows of at most about `calibration_rows`.
+calibration. Counts come from all labelled rows but the calibration's, in hashed tables of fixed size, so the model's
+size is bounded whatever the corpus; the calibration is fitted on a sample of labelled rows of at most about `calibration_rows`.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def _feature_batches(shared, scored: bool):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """A model from the labelled rows that aren't held out: a fold of them calibrates, the others are counted.
+    """A model from the labelled rows that aren't held out: rows drawn from a fold calibrate, all others are counted.
 
     Labels other than 0 and 1 and null texts aren't learned from. Labels are broadcast if a count shows that they
     are few, else joined by shuffle. Without both labels the score is the rate of label 1 (0.5 if there is none).
@@ -151,7 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).distinct()
     rows = docs.where(~held_out(id_col) & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(small(marks, LABELS_AT_ONCE), "id").withColumn("fold", F.crc32(F.col("id").cast("string")) % 5)
-    learn = rows.where(F.col("fold") != CALIBRATION_FOLD).select("toxic", "text")
+    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    size = sum(sizes.values())
+    share = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 5 * calibration_rows / max(size, 1))))
+    drawn = (F.col("fold") == CALIBRATION_FOLD) & share
+    learn = rows.where(~drawn).select("toxic", "text")
     counts = learn.mapInArrow(_count_batches, "part int, word int, context int, n0 int, n1 int").repartition("part")
     counts = counts.groupBy("part", "word", "context").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     one = F.lit(1).cast("long")
@@ -167,12 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         words[k, at[kind == 0]] = n[kind == 0]
     for k, n in enumerate((n0, n1)):
         pairs[k, (part << CONTEXT_BITS | at)[kind == 1]] = n[kind == 1]
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    n = sum(sizes.values())
-    model = Model(words, pairs, sizes.get(1, 0) / n if n else 0.5)
+    model = Model(words, pairs, sizes.get(1, 0) / size if size else 0.5)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 5 * calibration_rows / max(n, 1))))
-    sample = rows.where((F.col("fold") == CALIBRATION_FOLD) & draw).select("toxic", "text")
+    sample = rows.where(drawn).select("toxic", "text")
     seen = sample.mapInArrow(_feature_batches(shared, False), "toxic int, features array<double>").toPandas()
     model.calibrate(np.array(seen["features"].tolist(), dtype=float).reshape(-1, 7), seen["toxic"].to_numpy(dtype=float))
     return model

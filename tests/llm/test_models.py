@@ -128,3 +128,11 @@ def test_shared_backoff_decides_nothing(comments):
     _, alone = model.differences(unseen)
     seen = model.differences(np.array([toxicity.Hashes()["moron"]]))[1]
     assert abs(alone[0] - alone[1]) < 1e-6 and seen[0] > abs(alone[0]) + 1
+
+
+def test_rows_of_the_fold_that_do_not_calibrate_are_counted(spark, comments):
+    rows, _, labels = comments
+    fold = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == toxicity.CALIBRATION_FOLD}
+    docs = spark.createDataFrame([(i, text + " vermin" * (toxic and i in fold)) for i, text, toxic in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, labels, calibration_rows=60)
+    assert model.differences(np.array([toxicity.Hashes()["vermin"]]))[1][0] > 1

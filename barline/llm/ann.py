@@ -1,41 +1,93 @@
 """Nearest neighbours by largest inner product over shifted space-filling curves.
 
-Each curve orders all vectors by the Hilbert key of a rotated, shifted projection; Spark range-partitions the keys,
-and every query is compared with the `WINDOW` rows before and after it. The windows of all curves merge to a first
-list with a lower bound of the last score that counts.
+Each curve orders all distinct vectors by the Hilbert key of a rotated projection on a few directions; vectors of equal
+key follow a further direction. A query enters each curve at several places, its probes: its own, and those of copies of
+it shifted over the nearest of the planes that halve the directions, in the order of the shift's length. The `WINDOW` rows
+on both sides of every probe are compared with the query, and around its own place `OWN` of all that it is compared
+with, which is what finds neighbours in tight clusters, where no plane passes. The lists of all curves merge.
 
-An exact check follows: the rows of the first curve, cut in blocks of neighbouring keys, are skipped where the
-block's centre and radius show that no row can reach a query's bound, and else compared in one matrix product.
-So results are exact whatever the data; how many blocks are skipped depends on how the vectors cluster. Queries are
-broadcast in chunks of at most `QUERY_BYTES`.
+Spark partitions each curve by ranges, its blocks, whose bounds come from a sample of at most about `SAMPLE` vectors; a
+query goes to the blocks that its probes fall in. With n vectors of a length, a curve has about log2(n / 2 WINDOW)
+directions, so that a window is about as long as the part of the curve between two such planes, and
+
+    rows compared on a curve = FIRST (n / 2000) ** GROWTH, at least FIRST, probes = (1 - OWN) of that / (2 WINDOW)
+
+so the share of rows that a query is compared with falls as n ** (GROWTH - 1). The README has the recall and share that
+were measured. No list has an own row for a copy: equal vectors are one point, whose ids come back at the end.
+
+The curves order directions, so recall is that of inner products of vectors of about equal length; where lengths differ
+widely, a larger FIRST makes up for it.
 
 Scores are sums of products in double precision, in the order of the components.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut
-
-CURVES, DIMENSIONS, BITS, WINDOW, BLOCK, QUERY_BYTES = 4, 8, 7, 128, 1024, 32 << 20
-
-
-def rotations(size: int, curves: int = CURVES) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each curve orthonormal directions, one a column, and shifts; the same in every run."""
+from barline.llm.common import cut, slices
+
+CURVES, WINDOW, FIRST, GROWTH, OWN = 4, 16, 768, 0.8, 0.25
+SAMPLE, BLOCK, KEY_BITS, FLIPS, HOT_QUERIES = 200_000, 16_384, 52, 10, 10_000
+_SUBSETS = np.array(list(product((0, 1), repeat=FLIPS)), dtype=bool)
+
+
+class Plan:
+    """How the vectors of one length lie on the curves: directions, bits of a coordinate, probes, and bounds of blocks."""
+
+    def __init__(self, size: int, n: int, first: int = FIRST):
+        self.dims = int(min(size, 24, max(1, round(np.log2(max(n, 1) / (2 * WINDOW))))))
+        self.bits = min(8, KEY_BITS // self.dims)
+        compared = first * max(1.0, n / 2000) ** GROWTH
+        self.probes, self.own = int(np.ceil((1 - OWN) * compared / (2 * WINDOW))), int(np.ceil(OWN * compared / 2))
+        self.blocks = max(1, min(-(-n // BLOCK), SAMPLE // 16))
+        self.axes, self.bounds, self.first_block = rotations(size, self.dims), [np.empty(0, complex)] * CURVES, 0
+
+    def spread(self, vectors: np.ndarray, curve: int) -> np.ndarray:
+        """Coordinates of the directions of vectors on a curve's axes, and last on the further one."""
+        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+        return unit @ self.axes[curve] * np.sqrt(vectors.shape[1])
+
+    def keys(self, spread: np.ndarray) -> np.ndarray:
+        """Places on the curve: the Hilbert key, and as imaginary part the further coordinate, so they sort as pairs."""
+        cells = np.clip((spread[:, : self.dims] / 6 + 0.5) * (1 << self.bits), 0, (1 << self.bits) - 1).astype(np.int64)
+        return hilbert_keys(cells, self.bits) + 1j * spread[:, -1]
+
+    def probe_keys(self, spread: np.ndarray) -> np.ndarray:
+        """For each vector the keys of its probes, one a row of the result; the first is its own."""
+        m = min(self.dims, FLIPS)
+        order = np.argsort(np.abs(spread[:, : self.dims]), axis=1)[:, :m]
+        subsets = _SUBSETS[: 1 << m, FLIPS - m :]
+        cost = np.take_along_axis(spread, order, 1) ** 2 @ subsets.T.astype(float)
+        best = np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
+        out = np.empty(best.shape, complex)
+        for p in range(best.shape[1]):
+            flip = np.zeros(spread.shape, bool)
+            np.put_along_axis(flip, order, subsets[best[:, p]], 1)
+            out[:, p] = self.keys(np.where(flip, -spread, spread))
+        return out
+
+    def block(self, keys: np.ndarray, curve: int) -> np.ndarray:
+        return self.first_block + curve * self.blocks + np.searchsorted(self.bounds[curve], keys, side="right")
+
+
+def rotations(size: int, dims: int) -> list[np.ndarray]:
+    """For each curve orthonormal directions, one a column, the last one for ties; the same in every run."""
     out = []
-    for c in range(curves):
+    for c in range(CURVES):
         rng = np.random.default_rng(1000 + c)
-        n = min(DIMENSIONS, size)
-        out.append((np.linalg.qr(rng.normal(size=(size, n)))[0], rng.uniform(0, 0.5, size=n)))
+        axes = np.linalg.qr(rng.normal(size=(size, dims)))[0]
+        out.append(np.column_stack((axes, rng.normal(size=size) / np.sqrt(size))))
     return out
 
 
-def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
+def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     """Places on the Hilbert curve of rows of integer coordinates below 2**bits, by Skilling's transform."""
     x = cells.astype(np.int64).T.copy()
     n = len(x)
@@ -64,193 +116,209 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
-    """Keys of vectors on a curve; only their directions count."""
-    axes, shift = rotations(vectors.shape[1], curve + 1)[curve]
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    spread = unit @ axes * np.sqrt(vectors.shape[1]) / 6 + 0.25 + shift
-    return hilbert_keys(np.clip(spread * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64))
+def points_of(rows: DataFrame, every: int, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that can take part as (p1, p2, vec_id), and their distinct vectors as points.
 
+    p1 and p2, together 128 bits, are a hash of the vector. A point has the smallest id, the number of ids, and whether
+    a query has it.
+    """
+    v = F.col(vector_col)
+    good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    own = rows.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    own = own.withColumns({"p1": F.xxhash64("v"), "p2": F.xxhash64(F.lit("point"), "v")})
+    asked = F.max((F.col("vec_id") % every == 0).cast("int")).alias("asked")
+    points = own.groupBy("p1", "p2").agg(F.any_value("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("n"), asked)
+    return own.drop("v"), points.withColumn("size", F.size("v"))
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
+def _by_size(batch: pa.RecordBatch, plans: dict):
+    """(plan, rows, vectors) for each length of the vectors in columns v and size."""
+    sizes = batch.column("size").to_numpy()
+    for size in np.unique(sizes).tolist():
+        own = batch.filter(pa.array(sizes == size))
+        yield plans[size], own, own.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def _sample_batches(plans: dict):
+    def run(batches):
+        for batch in batches:
+            for plan, own, vectors in _by_size(batch, plans):
+                for c in range(CURVES):
+                    keys = plan.keys(plan.spread(vectors, c))
+                    cols = [own.column("size"), pa.array(np.full(len(keys), c, np.int32)), pa.array(keys.real), pa.array(keys.imag)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["size", "curve", "key", "tie"])
+
+    return run
 
-def exact(vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of two tables of the same shape, summed in the order of the components."""
-    out = np.zeros(len(vectors))
-    for k in range(vectors.shape[1]):
-        out += vectors[:, k] * queries[:, k]
-    return out
 
+def plan_of(points: DataFrame, first: int = FIRST) -> dict[int, Plan]:
+    """For each length of vectors how they lie on the curves. Lengths are taken to be few, as a table's models are."""
+    plans, n_blocks = {}, 0
+    sizes = {r[0]: r[1] for r in points.groupBy("size").count().collect()}
+    for size, n in sorted(sizes.items()):
+        plans[size] = plan = Plan(size, n, first)
+        plan.first_block, n_blocks = n_blocks, n_blocks + CURVES * plan.blocks
+    share = min(1.0, SAMPLE / max(1, sum(sizes.values())))
+    drawn = points.where(F.pmod(F.col("p2"), F.lit(1 << 20)) < int((1 << 20) * share))
+    sample = drawn.select("v", "size").mapInArrow(_sample_batches(plans), "size int, curve int, key double, tie double").toPandas()
+    for (size, curve), own in sample.groupby(["size", "curve"]):
+        keys = np.sort(own["key"].to_numpy() + 1j * own["tie"].to_numpy())
+        cuts = np.arange(1, plans[size].blocks) * len(keys) // plans[size].blocks
+        plans[size].bounds[curve] = keys[cuts]
+    return plans
 
-def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, size) of the vectors that can take part, in double precision."""
-    v = F.col(vector_col).cast("array<double>")
-    good = F.col(vector_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(vector_col).alias("size"))
 
+def _place_batches(plans: dict, kind: pa.DataType):
+    """Rows of points in blocks (kind 0), and after them queries with the keys of their probes there (kind 1)."""
 
-def _key_batches(curves: int):
     def run(batches):
-        for batch in batches:
-            sizes = batch.column(2).to_numpy()
-            for size in np.unique(sizes).tolist():
-                own = batch.filter(pa.array(sizes == size))
-                vectors = _matrix(own.column(1), size)
-                for c in range(curves):
-                    keys = pa.array(curve_keys(vectors, c))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, c, np.int32)), keys, *own.columns], names=["curve", "key", "vec_id", "v", "size"])
+        for batch in slices(batches):
+            for plan, own, vectors in _by_size(batch, plans):
+                asked = np.flatnonzero(own.column("asked").to_numpy())
+                for c in range(CURVES):
+                    spread = plan.spread(vectors, c)
+                    keys = plan.keys(spread)
+                    yield _placed(own, plan.block(keys, c), 0, keys, pa.nulls(own.num_rows, pa.list_(pa.float64())), kind)
+                    if not len(asked):
+                        continue
+                    probes = plan.probe_keys(spread[asked])
+                    blocks = plan.block(probes, c)
+                    order = np.argsort(blocks, axis=1, kind="stable")
+                    probes, blocks = np.take_along_axis(probes, order, 1), np.take_along_axis(blocks, order, 1)
+                    new = np.ones(blocks.shape, bool)
+                    new[:, 1:] = blocks[:, 1:] != blocks[:, :-1]
+                    row, col = np.nonzero(new)
+                    flat = np.flatnonzero(new.ravel())
+                    ends = pa.array(np.append(flat, blocks.size), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(probes.real.ravel()))
+                    yield _placed(own.take(pa.array(asked[row])), blocks[row, col], 1, keys[asked[row]], lists, kind)
 
     return run
 
 
-def _window_batches(every: int, k: int, window: int):
-    """The k best of the rows around each query, from rows sorted by size, curve and key."""
-
-    def group(ids: np.ndarray, vectors: np.ndarray):
-        """The k best in the windows around each query."""
-        at = np.flatnonzero(ids % every == 0)
-        offsets = np.concatenate((np.arange(-window, 0), np.arange(1, window + 1)))
-        for part in np.array_split(at, max(1, len(at) // 256)):
-            near = part[:, None] + offsets
-            inside = (near >= 0) & (near < len(ids))
-            near = np.clip(near, 0, len(ids) - 1)
-            score = np.einsum("qwd,qd->qw", vectors[near], vectors[part])
-            score[~inside | (ids[near] == ids[part][:, None])] = -np.inf
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            kept = np.take_along_axis(score, best, 1)
-            for q, cols, s in zip(part, best, kept):
-                cols = cols[s > -np.inf]
-                if len(cols):
-                    yield ids[q], ids[near[np.searchsorted(part, q), cols]], exact(vectors[near[np.searchsorted(part, q), cols]], np.broadcast_to(vectors[q], (len(cols), vectors.shape[1])))
+def _placed(rows: pa.RecordBatch, blocks: np.ndarray, which: int, keys: np.ndarray, probes: pa.Array, kind: pa.DataType) -> pa.RecordBatch:
+    cols = [pa.array(blocks.astype(np.int32)), pa.array(np.full(len(blocks), which, np.int32)), pa.array(keys.real), pa.array(keys.imag), probes]
+    cols += [rows.column("p1"), rows.column("p2"), rows.column("least"), rows.column("n"), rows.column("v").cast(kind)]
+    return pa.RecordBatch.from_arrays(cols, names=["block", "kind", "key", "tie", "probes", "p1", "p2", "least", "n", "v"])
 
-    def run(batches):
-        held: dict[tuple, list] = {}
 
-        def out(key):
-            ids, parts = np.concatenate([x[0] for x in held[key]]), np.concatenate([x[1] for x in held[key]])
-            found = list(group(ids, parts))
-            q = np.concatenate([np.full(len(i), a) for a, i, _ in found]) if found else np.empty(0, np.int64)
-            i = np.concatenate([i for _, i, _ in found]) if found else np.empty(0, np.int64)
-            s = np.concatenate([s for _, _, s in found]) if found else np.empty(0)
-            return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(i.astype(np.int64)), pa.array(s)], names=["query_id", "vec_id", "score"])
+def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a query, summed in the order of the components."""
+    out = np.zeros(len(vectors))
+    for k in range(vectors.shape[1]):
+        out += vectors[:, k] * query[k]
+    return out
 
-        for batch in batches:
-            sizes, curves = batch.column(4).to_numpy(), batch.column(0).to_numpy()
-            for size, curve in sorted(set(zip(sizes.tolist(), curves.tolist()))):
-                own = batch.filter(pa.array((sizes == size) & (curves == curve)))
-                key = (size, curve)
-                held.setdefault(key, []).append((own.column(2).to_numpy(), _matrix(own.column(3), size)))
-                rows = sum(len(x[0]) for x in held[key])
-                if rows >= 16 * window:
-                    yield out(key)
-                    ids, vectors = (np.concatenate([x[j] for x in held[key]])[-2 * window :] for j in (0, 1))
-                    held[key] = [(ids, vectors)]
-        for key in list(held):
-            yield out(key)
 
-    return run
+def near_rows(keys: np.ndarray, probes: np.ndarray, own: complex, around: int) -> np.ndarray:
+    """Rows of a block, sorted by key, in the windows of probes and `around` a query's own place, if that is a probe.
+
+    Windows at an end of the block reach further in.
+    """
+    at = np.searchsorted(keys, probes)
+    start = np.clip(at - WINDOW, 0, max(0, len(keys) - 2 * WINDOW))
+    seen = np.zeros(len(keys) + 2 * WINDOW, bool)
+    seen[start[:, None] + np.arange(2 * WINDOW)] = True
+    if (probes == own).any():
+        first = min(max(0, int(np.searchsorted(keys, own)) - around), max(0, len(keys) - 2 * around))
+        seen[first : first + 2 * around] = True
+    return np.flatnonzero(seen[: len(keys)])
 
 
-def first_lists(keyed: DataFrame, every: int, k: int, window: int = WINDOW) -> DataFrame:
-    """(query_id, vec_id, score): the k best that the windows of all curves give each query."""
-    ordered = keyed.repartitionByRange("size", "curve", "key").sortWithinPartitions("size", "curve", "key")
-    found = ordered.mapInArrow(_window_batches(every, k, window), "query_id long, vec_id long, score double").distinct()
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+_FOUND = "q1 long, q2 long, p1 long, p2 long, least long, n long, score double, compared long"
 
 
-def _block_batches(shared, k: int, block: int):
-    """Of each block of rows the candidates that reach a query's bound; per task at most k (and ties) a query."""
+def _search_batches(k: int, around: dict):
+    """Of each block the k + 1 best points in the windows of each query; rows come sorted by block, kind and key."""
 
     def run(batches):
-        by_size = shared.value
-        best = {size: [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)] for size in by_size}
-
-        def keep(size):
-            q, i, s = best[size]
-            order = np.lexsort((i, -s, q))
-            q, i, s = q[order], i[order], s[order]
-            first = np.searchsorted(q, q)
-            near = np.arange(len(q)) - first < k
-            best[size] = [q[near], i[near], s[near]]
-            full = np.flatnonzero(np.bincount(best[size][0], minlength=len(by_size[size][0])) >= k)
-            last = np.searchsorted(best[size][0], full) + k - 1
-            bound = by_size[size][2]
-            bound[full] = np.maximum(bound[full], best[size][2][last])
-
-        def visit(size, ids, vectors):
-            queries, points, bound = by_size[size]
-            centre = vectors.mean(axis=0)
-            radius = np.sqrt(((vectors - centre) ** 2).sum(axis=1).max())
-            reach = points @ centre + by_size_norms[size] * radius
-            q = np.flatnonzero(reach + 1e-9 * (1 + np.abs(reach)) >= bound)
-            for part in np.array_split(q, max(1, len(q) // 512)):
-                score = points[part] @ vectors.T
-                slack = 1e-9 * (1 + np.abs(bound[part]))
-                row, col = np.nonzero((score >= (bound[part] - np.where(np.isfinite(slack), slack, 0))[:, None]) & (ids[None, :] != queries[part][:, None]))
-                if len(row):
-                    # no more than k of a block can count for a query, but for what ties with the k-th
-                    own = score[row, col]
-                    order = np.lexsort((-own, row))
-                    row, col, own = row[order], col[order], own[order]
-                    start = np.searchsorted(row, row)
-                    kth = own[np.minimum(start + k - 1, np.searchsorted(row, row, side="right") - 1)]
-                    near = own >= kth - 1e-9 * (1 + np.abs(kth))
-                    row, col = row[near], col[near]
-                    s = exact(vectors[col], points[part[row]])
-                    old = best[size]
-                    best[size] = [np.concatenate((old[0], part[row])), np.concatenate((old[1], ids[col])), np.concatenate((old[2], s))]
-                    keep(size)
-
-        by_size = {size: (a, b, c.copy()) for size, (a, b, c) in by_size.items()}
-        by_size_norms = {size: np.linalg.norm(b, axis=1) for size, (_, b, _) in by_size.items()}
-        for batch in batches:
-            sizes = batch.column(2).to_numpy()
-            for size in np.unique(sizes).tolist():
-                if size in by_size:
-                    own = batch.filter(pa.array(sizes == size))
-                    ids, vectors = own.column(0).to_numpy(), _matrix(own.column(1), size)
-                    for at in range(0, len(ids), block):
-                        visit(size, ids[at : at + block], vectors[at : at + block])
-        for size, (q, i, s) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(by_size[size][0][q]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+        block, rows, held = None, None, []
+        for batch in slices(batches):
+            blocks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.flatnonzero(np.diff(blocks * 2 + kinds)) + 1
+            for start, end in zip([0, *new], [*new, batch.num_rows]):
+                part = batch.slice(start, end - start)
+                if blocks[start] != block:
+                    block, rows, held = blocks[start], None, []
+                if kinds[start] == 0:
+                    held.append(part)
+                    continue
+                if rows is None:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    column = [whole.column(i).to_numpy() for i in (5, 6, 7, 8)]
+                    flat = whole.column(9).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                    rows = whole.column(2).to_numpy() + 1j * whole.column(3).to_numpy(), column, flat.astype(np.float64).reshape(whole.num_rows, -1)
+                    held = []
+                yield from _searched(part, *rows, k, around)
 
     return run
 
 
-def search(rows: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", window: int = WINDOW, verify: bool = True, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """(query_id, rank, vec_id, score): of each row whose id is divisible by `every` the k nearest of all other rows.
+def _searched(part: pa.RecordBatch, keys: np.ndarray, column: list, vectors: np.ndarray, k: int, around: dict):
+    out, queries = [], part.column(9).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+    key, tie, probes = part.column(2).to_numpy(), part.column(3).to_numpy(), part.column(4)
+    for i, query in enumerate(queries):
+        at = near_rows(keys, probes[i].values.to_numpy() + 1j * tie[i], key[i] + 1j * tie[i], around[queries.shape[1]])
+        score = vectors[at] @ query
+        if len(at) > k + 1:
+            kth = np.partition(score, len(at) - k - 1)[len(at) - k - 1]
+            best = score >= kth - 1e-9 * (1 + abs(kth))
+            own, score = at[best], exact(vectors[at[best]], query)
+        else:
+            own, score = at, exact(vectors[at], query)
+        order = np.lexsort((column[2][own], -score))[: k + 1]
+        out.append((i, own[order], score[order], len(at)))
+    size = [len(o) for _, o, _, _ in out]
+    of, own = np.repeat([i for i, *_ in out], size), np.concatenate([o for _, o, _, _ in out])
+    seen = np.zeros(len(of), np.int64)
+    seen[np.cumsum([0, *size[:-1]])] = [n for *_, n in out]
+    cols = [part.column(5).take(pa.array(of)), part.column(6).take(pa.array(of)), *(pa.array(c[own]) for c in column), pa.array(np.concatenate([s for _, _, s, _ in out])), pa.array(seen)]
+    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _FOUND.split(", ")])
+
+
+def lists_of(points: DataFrame, k: int, first: int = FIRST) -> DataFrame:
+    """(q1, q2, p1, p2, least, n, score, compared): what the curves find for each query point, at most k + 1 a block.
+
+    compared is the number of rows that the query was compared with in a block, on one of its rows there, else 0.
+    """
+    plans = plan_of(points, first)
+    kind = points.schema["v"].dataType.elementType
+    schema = f"block int, kind int, key double, tie double, probes array<double>, p1 long, p2 long, least long, n long, v array<{kind.simpleString()}>"
+    arrow = pa.list_({"float": pa.float32(), "double": pa.float64()}.get(kind.simpleString(), pa.float64()))
+    placed = points.mapInArrow(_place_batches(plans, arrow), schema)
+    return placed.repartition("block").sortWithinPartitions("block", "kind", "key", "tie").mapInArrow(_search_batches(k, {size: p.own for size, p in plans.items()}), _FOUND)
+
+
+def search(rows: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", first: int = FIRST) -> DataFrame:
+    """(query_id, rank, vec_id, score): of each row whose id is divisible by `every` the k nearest found of all other rows.
 
     Nearest first, ties to the smaller id; all candidates if there are fewer. Vectors that are null, zero or hold null
     or non-finite components and rows without an id take no part; vectors of another length than the query's are no
-    candidates. Rows that repeat an id and vector count once. verify=False leaves out the exact check.
+    candidates. Rows that repeat an id and vector count once; an id with several vectors asks and is found with each.
+    A table of up to `first` vectors is compared whole, so `first` as large as the table makes any search exact.
     """
-    spark = rows.sparkSession
-    own = usable(rows, id_col, vector_col).dropDuplicates(["vec_id", "v"])
-    keyed = cut(own.mapInArrow(_key_batches(CURVES), "curve int, key long, vec_id long, v array<double>, size int"))
-    found = first_lists(keyed, every, k, window)
-    if verify:
-        found = cut(found)
-        bounds = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-        bound = F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(float("-inf")))
-        queries = keyed.where((F.col("curve") == 0) & (F.col("vec_id") % every == 0))
-        queries = cut(queries.join(bounds, queries["vec_id"] == bounds["query_id"], "left").select("vec_id", "v", "size", F.coalesce(bound, F.lit(float("-inf"))).alias("bound")))
-        total = queries.agg(F.sum(F.col("size") * 8 + 24)).first()[0] or 0
-        n_chunks = max(1, -(-total // query_bytes))
-        blocks = cut(keyed.where("curve = 0").repartitionByRange("size", "key").sortWithinPartitions("size", "key").select("vec_id", "v", "size"))
-        lists = []
-        for chunk in range(n_chunks):
-            part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)) == chunk).toArrow()
-            sizes = part.column("size").to_numpy()
-            by_size = {}
-            for size in np.unique(sizes).tolist():
-                mine = part.filter(pa.array(sizes == size)).combine_chunks()
-                by_size[size] = mine.column("vec_id").to_numpy().copy(), _matrix(mine.column("v").combine_chunks(), size), mine.column("bound").to_numpy().copy()
-            lists.append(blocks.mapInArrow(_block_batches(spark.sparkContext.broadcast(by_size), k, BLOCK), "query_id long, vec_id long, score double"))
-        for more in lists:
-            found = found.unionByName(more)
-        found = found.distinct()
+    kind = rows.schema[vector_col].dataType.elementType.simpleString()
+    if kind not in ("float", "double"):
+        rows = rows.withColumn(vector_col, F.col(vector_col).cast("array<double>"))
+    own, points = points_of(rows, every, id_col, vector_col)
+    points = cut(points)
+    best = F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "least"))
+    found = cut(lists_of(points, k, first).drop("compared").distinct().withColumn("place", best).where(F.col("place") <= k + 1).drop("place"))
+    # ids of the points found: of equal vectors only the k + 1 smallest can count
+    place = F.row_number().over(W.partitionBy("p1", "p2").orderBy("vec_id"))
+    copies = own.distinct().withColumn("place", place).where(F.col("place") <= k + 1).drop("place")
+    single = found.where("n = 1").select("q1", "q2", F.col("least").alias("vec_id"), "score")
+    several = found.where("n > 1").join(copies, ["p1", "p2"]).select("q1", "q2", "vec_id", "score")
+    near = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score")))
+    place = F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
+    lists = single.unionByName(several).withColumn("place", place).where(F.col("place") <= k + 1).groupBy("q1", "q2").agg(near.alias("near"))
+    # a vector that very many queries have is joined in parts; there is at most one such for every HOT_QUERIES queries
+    queries = own.where(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
+    hot = queries.groupBy("q1", "q2").count().where(F.col("count") > HOT_QUERIES).select("q1", "q2", F.ceil(F.col("count") / HOT_QUERIES).cast("int").alias("parts"))
+    hot = F.broadcast(cut(hot))
+    parts = F.coalesce("parts", F.lit(1))
+    queries = queries.join(hot, ["q1", "q2"], "left").withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int")).drop("parts")
+    lists = lists.join(hot, ["q1", "q2"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    out = queries.join(lists, ["q1", "q2", "part"]).select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

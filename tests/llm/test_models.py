@@ -1,8 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barline.llm import langid, toxicity
 from tests.llm.conftest import prose
@@ -121,13 +123,72 @@ def test_toxicity_odd_rows(spark, odd_docs, empty_docs, comments):
     assert toxicity.score(odd_docs, toxicity.fit(empty_docs, labels)).count() == odd_docs.count()
 
 
-def test_shared_backoff_decides_nothing(comments):
-    _, docs, labels = comments
-    model = toxicity.fit(docs, labels)
-    unseen = np.array([toxicity.Hashes()[w] for w in ("qqqq", "wwww")])
-    _, alone = model.differences(unseen)
-    seen = model.differences(np.array([toxicity.Hashes()["moron"]]))[1]
-    assert abs(alone[0] - alone[1]) < 1e-6 and seen[0] > abs(alone[0]) + 1
+def test_toxicity_is_the_length_normalised_difference(comments, monkeypatch):
+    """Without the class-conditional likelihoods nothing is left to find toxic documents by."""
+    rows, docs, labels = comments
+    toxic = {r[0]: r[2] for r in rows}
+
+    def recall():
+        out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+        own = [r for r in out if r["held_out"] and toxic[r["doc_id"]]]
+        return np.mean([r["predicted"] for r in own])
+
+    assert recall() >= 0.9
+    evidence = toxicity.evidence
+    monkeypatch.setattr(toxicity, "evidence", lambda counts: (evidence(counts)[0].withColumn("r", F.lit(0.0)), 0.0))
+    assert recall() in (0.0, 1.0)  # all alike
+
+
+def test_model_against_brute_force(spark, comments):
+    rows, _, labels = comments
+    learn = [r for r in rows[:400] if r[0] % 10 and not is_held_out(r[0])]
+    docs = spark.createDataFrame([r[:2] for r in rows[:400]], "doc_id long, text string")
+    n, pair = [{}, {}], [{}, {}]
+    for _, text, c in learn:
+        words = [w for w in ("".join(x for x in chunk.lower() if x.isalpha()) for chunk in text.split()) if w]
+        for w in set(words):
+            n[c][w] = n[c].get(w, 0) + 1
+        for p in set(zip([None, *words], words)):
+            pair[c][p] = pair[c].get(p, 0) + 1
+    d, dd, share = toxicity.DISCOUNT, toxicity.PAIR_DISCOUNT, toxicity.SHARE
+    total = [sum(n[c].values()) for c in (0, 1)]
+    back = [sum(min(d, x) for x in n[c].values()) / total[c] for c in (0, 1)]
+    every = set(pair[0]) | set(pair[1])
+    before = {}
+    for _, w in every:
+        before[w] = before.get(w, 0) + 1
+
+    def alone(c, w):
+        return max(n[c].get(w, 0) - d, 0) / total[c] + back[c] * before[w] / len(every)
+
+    expected = {(None, w): math.log(1 - share + share * alone(1, w) / alone(0, w)) for w in n[1]}
+    for h, w in (p for p, x in pair[1].items() if x > dd):
+        mine = [p for p in every if p[0] == h]
+        b = sum(min(dd, pair[c].get(p, 0)) for c in (0, 1) for p in mine) / sum(pair[c].get(p, 0) for c in (0, 1) for p in mine)
+        p = []
+        for c in (0, 1):
+            s = sum(max(pair[c].get(x, 0) - dd, 0) for x in mine)
+            p.append((1 - b) * (max(pair[c].get((h, w), 0) - dd, 0) / s if s else alone(c, w)) + b * alone(c, w))
+        expected[h or "", w] = math.log(1 - share + share * p[1] / p[0])
+    hashes = toxicity.Hashes()
+    keys = {}
+    for (h, w), r in expected.items():
+        before_h = toxicity.START if h == "" else None if h is None else hashes[h]
+        key = hashes[w] if before_h is None else int(toxicity.pair_keys(np.array([before_h]), np.array([hashes[w]]))[0])
+        keys[key] = r
+    for hot in (toxicity.HOT, 5):  # with few frequent expressions the rest is joined
+        model = toxicity.fit(docs, labels, calibration_rows=0, hot=hot)
+        table = dict(zip(model.table.keys.tolist(), model.table.values.tolist())) | {r["key"]: r["r"] for r in model.rest.collect()}
+        assert table.keys() == keys.keys() and len(model.table.keys) == min(hot, len(keys))
+        assert all(abs(table[k] - keys[k]) < 1e-9 for k in keys)
+        base = math.log(1 - share + share * back[1])
+        assert abs(model.table.base - base) < 1e-12
+        texts = [(r[0], r[1]) for r in rows[:60]]
+        found = {r["doc_id"]: r["difference"] for r in toxicity.differences(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+        for i, text in texts:
+            words = [w for w in ("".join(x for x in chunk.lower() if x.isalpha()) for chunk in text.split()) if w]
+            own = [expected.get((h or "", w), expected.get((None, w), base)) for h, w in zip([None, *words], words)]
+            assert abs(found[i] - sum(own) / len(words)) < 1e-9
 
 
 def test_rows_of_the_fold_that_do_not_calibrate_are_counted(spark, comments):
@@ -135,4 +196,5 @@ def test_rows_of_the_fold_that_do_not_calibrate_are_counted(spark, comments):
     fold = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == toxicity.CALIBRATION_FOLD}
     docs = spark.createDataFrame([(i, text + " vermin" * (toxic and i in fold)) for i, text, toxic in rows], "doc_id long, text string")
     model = toxicity.fit(docs, labels, calibration_rows=60)
-    assert model.differences(np.array([toxicity.Hashes()["vermin"]]))[1][0] > 1
+    value, _ = model.table.look_up(np.array([toxicity.Hashes()["vermin"]]))
+    assert value[0] > 10 * abs(model.table.base)

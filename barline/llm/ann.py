@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import cut, slices
 
-CURVES, WINDOW, FIRST, GROWTH, OWN = 4, 16, 768, 0.8, 0.25
+CURVES, WINDOW, FIRST, GROWTH, OWN = 4, 16, 720, 0.8, 0.4
 SAMPLE, BLOCK, KEY_BITS, FLIPS, HOT_QUERIES = 200_000, 16_384, 52, 10, 10_000
 _SUBSETS = np.array(list(product((0, 1), repeat=FLIPS)), dtype=bool)
 

@@ -1,10 +1,14 @@
 """Main text of web pages by removal of site templates.
 
-A page is parsed to blocks and block element subtrees. Subtrees are hashed and counted by host over all pages;
-those that recur on many pages of their host are the site's template and their blocks go, as do elements that by
-their name, role or class hold menus, adverts, forms and the like. In pages with an article only the article's text
-counts; there a subtree is template only if it is a short box without paragraphs or headings, so that articles
-which several pages share stay whole.
+A page is parsed to blocks and the subtrees of its block elements. Subtrees are hashed and counted by host over all
+pages. A subtree is template where it recurs in many surroundings: at least `MIN_PAGES` on its host, and at least
+`MIN_SHARE` as many as pages. A surrounding is told by the longest block outside the subtree, or the second longest (as
+the longest may be another template), by the smallest hash of its two-word shingles, which near copies share. So what
+recurs only because pages, articles or rows are copies of each other is not template, whatever the size of the host.
+Inside an article, subtrees with paragraphs or headings are never template, and template never takes all of a page.
+
+Elements that by their name, role or class hold menus, adverts, forms and the like go too, as a site's rare pages tell
+no template; in pages with an article only the article's text counts.
 """
 
 from __future__ import annotations
@@ -12,14 +16,15 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut, held, slices, small
+from barline.llm.common import cut, held, slices
 
-MIN_PAGES, MIN_SHARE, BOX_WORDS, HOSTS_AT_ONCE = 5, 0.1, 40, 200_000
+MIN_PAGES, MIN_SHARE, RANKS, TEMPLATES_AT_ONCE = 5, 0.25, 2, 4_000_000
 
 #: Element names by what they mean for the main text; fixed values.
 _RAW = {"script", "style", "template", "noscript", "textarea", "iframe", "noembed", "noframes", "xmp"}
@@ -30,6 +35,8 @@ _PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 _MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "pager", "popup", "promo", "promoted", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Words that leave a name's meaning as it is; any other word beside a mark makes it another name (no-sidebar, related-work).
+_BESIDE = {"area", "articles", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "form", "global", "icons", "inner", "left", "links", "list", "main", "media", "outer", "page", "policy", "posts", "primary", "right", "secondary", "section", "signup", "site", "slot", "stories", "text", "thread", "top", "unit", "wrap", "wrapper"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -41,45 +48,57 @@ def _boilerplate(attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and not _MARKS.isdisjoint(_PART.findall(value)):
-            return True
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = {x for x in _PART.findall(token) if not x.isdigit()}
+                if parts & _MARKS and parts <= _MARKS | _BESIDE:
+                    return True
     return False
 
 
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
 class Page:
-    """Blocks of a page as (text, in an article), and its subtrees as (hash, first block, end, in an article, box)."""
+    """Blocks of a page as (text, in an article, named), and its subtrees as (hash, first block, end, in an article, with prose).
+
+    named: part of an element that its name, role or class gives away.
+    """
 
     def __init__(self, text: str):
-        self.blocks: list[tuple[str, bool]] = []
+        self.blocks: list[tuple[str, bool, bool]] = []
         self.trees: list[tuple[int, int, int, bool, bool]] = []
         self._parse(text)
 
-    def _flush(self, article: int) -> None:
-        if self._held:
-            text = " ".join(entities.unescape("".join(self._held)).split())
-            if text:
-                self.blocks.append((text, article > 0))
-            self._held = []
-
     def _parse(self, text: str) -> None:
-        self._held: list[str] = []
-        stack: list[tuple] = []  # name, offset, first block, skips, article
-        at, skip, article = 0, 0, 0
+        run: list[str] = []  # text since the last block's end
+        stack: list[tuple] = []  # name, offset, first block, is named, is an article, is muted
+        prose_at: set[int] = set()
+        at, skip, article, mute = 0, 0, 0, 0
+
+        def flush() -> None:
+            if run:
+                own = " ".join(entities.unescape("".join(run)).split())
+                if own:
+                    if any(x[0] in _PROSE for x in stack):
+                        prose_at.add(len(self.blocks))
+                    self.blocks.append((own, article > 0, skip > 0))
+                run.clear()
 
         def close(depth: int, end: int) -> None:
-            nonlocal skip, article
-            self._flush(article if not skip else 0)
+            nonlocal skip, article, mute
+            if any(x[0] in _BLOCK for x in stack[depth:]):
+                flush()
             while len(stack) > depth:
-                name, start, first, skips, own = stack.pop()
-                if name in _BLOCK and not skip and len(self.blocks) > first and name not in ("html", "body"):
-                    inside, prose = article > 0, name in _PROSE or any(t in prose_at for t in range(first, len(self.blocks)))
-                    box = not prose and sum(len(b.split()) for b, _ in self.blocks[first:]) <= BOX_WORDS
-                    digest = xxhash.xxh64_intdigest(" ".join(text[start:end].split()))
-                    self.trees.append((digest - (1 << 64) if digest >> 63 else digest, first, len(self.blocks), inside, box))
+                name, start, first, skips, own, mutes = stack.pop()
+                if name in _BLOCK and len(self.blocks) > first and name not in ("html", "body", "head", "title"):
+                    inside, prose = article > 0, any(t in prose_at for t in range(first, len(self.blocks)))
+                    self.trees.append((_signed(xxhash.xxh64_intdigest(" ".join(text[start:end].split()))), first, len(self.blocks), inside, prose))
                 skip -= skips
                 article -= own
+                mute -= mutes
 
-        prose_at: set[int] = set()
         raw_end = None
         for m in _TAG.finditer(text):
             if raw_end is not None:
@@ -87,8 +106,8 @@ class Page:
                     continue
                 raw_end, at = None, m.end()
                 continue
-            if not skip and m.start() > at:
-                self._held.append(text[at : m.start()])
+            if m.start() > at and not mute:
+                run.append(text[at : m.start()])
             at = m.end()
             if not m[2]:
                 continue
@@ -96,103 +115,167 @@ class Page:
             if m[1]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if depth is not None:
-                    if name in _BLOCK or any(x[0] in _BLOCK for x in stack[depth:]):
-                        close(depth, m.end())
-                    else:
-                        del stack[depth:]
-                elif name in _BLOCK and not skip:
-                    self._flush(article)
+                    close(depth, m.end())
+                elif name in _BLOCK:
+                    flush()
                 continue
             if name in _RAW:
                 if not m[3].rstrip().endswith("/"):
                     raw_end = name
                 continue
-            if name in ("br", "td", "th", "img", "wbr"):
-                if not skip and name != "wbr":
-                    self._held.append(" ")
+            if name in ("br", "td", "th", "img"):
+                run.append(" ")
             if name in _BLOCK or name in _CLOSES:
                 ends = _CLOSES.get(name, set())
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p" and name in _BLOCK or stack[i][0] in ends:
-                        if any(x[0] in _BLOCK for x in stack[i:]):
-                            close(i, m.start())
-                        else:
-                            del stack[i:]
+                        close(i, m.start())
                         break
                     if stack[i][0] in _BLOCK and stack[i][0] != "p":
                         break
-                if name in _BLOCK and not skip:
-                    self._flush(article)
+            if name in _BLOCK:
+                flush()
             if name in _VOID or m[3].endswith("/"):
                 continue
             own = int(name in ("article", "main") or "role" in m[3] and bool(re.search(r"role\s*=\s*[\"']?main\b", m[3])))
             named = name in _SKIP and not (name == "header" and article) or not own and name not in ("html", "body") and _boilerplate(m[3])
-            if name in _PROSE and not skip:
-                prose_at.add(len(self.blocks))
-            stack.append((name, m.start(), len(self.blocks), int(named), own))
-            skip += int(named)
+            # a named part of a line is left out of it; a named element of its own is a block that can still be counted
+            mutes = int(named and name not in _BLOCK)
+            named = int(named and not mutes)
+            stack.append((name, m.start(), len(self.blocks), named, own, mutes))
+            skip += named
             article += own
-        if not skip and raw_end is None and at < len(text):
-            self._held.append(text[at:])
+            mute += mutes
+        if raw_end is None and at < len(text) and not mute:
+            run.append(text[at:])
         close(0, len(text))
+        flush()
+
+    def kept(self) -> list[int]:
+        """The blocks that names and articles leave: those in an article, if any there are; never only named ones."""
+        own = [i for i, (_, _, named) in enumerate(self.blocks) if not named]
+        return [i for i in own if self.blocks[i][1]] or own or [i for i, (_, inside, _) in enumerate(self.blocks) if inside]
 
-    def text(self, template: set[int]) -> str:
+    def removable(self, main: bool) -> list[tuple[int, int, int]]:
+        """(hash, first block, end) of the subtrees that can be template; main: the page's text is that of an article."""
+        return [(digest, first, end) for digest, first, end, inside, prose in self.trees if not (prose and inside and main)]
+
+    def text(self, template) -> str:
+        """The blocks kept, less those in subtrees whose hash is in template, unless that were all."""
+        kept = self.kept()
         gone: set[int] = set()
-        main = any(inside for _, inside in self.blocks)
-        for digest, first, end, inside, box in self.trees:
-            if digest in template and (not main or inside and box):
+        for digest, first, end in self.removable(any(self.blocks[i][1] for i in kept)):
+            if digest in template:
                 gone.update(range(first, end))
-        return "\n".join(t for i, (t, inside) in enumerate(self.blocks) if i not in gone and (inside or not main))
+        left = [i for i in kept if i not in gone]
+        return "\n".join(self.blocks[i][0] for i in left or kept)
+
+    def surroundings(self) -> list[tuple[int, int, int]]:
+        """(hash, rank, smallest shingle hash) of every subtree that can be template and each of the longest blocks kept outside."""
+        kept = self.kept()
+        order = sorted(kept, key=lambda i: -len(self.blocks[i][0]))
+        least: dict[int, int] = {}
+        out = []
+        for digest, first, end in self.removable(any(self.blocks[i][1] for i in kept)):
+            outside = [i for i in order if not first <= i < end][:RANKS]
+            for rank in range(RANKS):
+                if rank < len(outside) and outside[rank] not in least:
+                    words = self.blocks[outside[rank]][0].split()
+                    least[outside[rank]] = _signed(min(xxhash.xxh64_intdigest(a + " " + b) for a, b in zip(words, words[1:] or [""])))
+                out.append((digest, rank, least[outside[rank]] if rank < len(outside) else 0))
+        return out
+
+
+_NONE = (1 << 64) - 1
+
+
+def _key(host: str, digest: int) -> int:
+    """What tells a host's subtree."""
+    return _signed(xxhash.xxh64_intdigest(host, digest & _NONE))
 
-    def countable(self) -> set[int]:
-        """Hashes of the subtrees that could be removed."""
-        main = any(inside for _, inside in self.blocks)
-        return {digest for digest, _, _, inside, box in self.trees if not main or inside and box}
+
+def _page(host: str, text: str | None) -> int:
+    return _signed(xxhash.xxh64_intdigest(text or "", xxhash.xxh32_intdigest(host)))
 
 
 def _tree_batches(batches):
     held("html", "", dict)
     for batch in slices(batches):
-        hosts, hashes = [], []
+        rows = []
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for h in Page(text or "").countable():
-                hosts.append(host)
-                hashes.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+            page = _page(host, text)
+            rows += [(page, _key(host, digest), rank, around) for digest, rank, around in Page(text or "").surroundings()]
+        cols = zip(*rows) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["page", "key", "rank", "around"])
 
 
 def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): the hashes of subtrees on at least min_pages pages and min_share of the pages of their host.
-
-    The list of a host is bounded: at most 1 / min_share times as long as the subtrees of a page are many.
-    """
+def subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page, key, rank, around): hash of a page, of a subtree of it with its host, and of a block outside; copies of pages once."""
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
-    seen = rows.mapInArrow(_tree_batches, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return seen.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("template"))
+    return rows.mapInArrow(_tree_batches, "page long, key long, rank long, around long").distinct()
 
 
-def _text_batches(batches):
-    held("html", "", dict)
-    for batch in slices(batches):
-        texts = [Page(h or "").text(set(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=["id", "url", "text", "n_chars"])
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(key) of the subtrees that recur in at least min_pages surroundings and min_share of the pages that have them."""
+    around = found.groupBy("key", "rank", "around").agg(F.count("*").alias("pages"))
+    whole = around.groupBy("key", "rank").agg(F.count("*").alias("n"), F.sum("pages").alias("pages"))
+    return whole.where((F.col("n") >= min_pages) & (F.col("n") >= min_share * F.col("pages"))).select("key").distinct()
+
+
+class _OfHost:
+    """The template hashes of a host, among sorted keys of all."""
+
+    def __init__(self, host: str, keys: np.ndarray):
+        self.host, self.keys = host, keys
+
+    def __contains__(self, digest: int) -> bool:
+        key = _key(self.host, digest)
+        at = int(np.searchsorted(self.keys, key))
+        return at < len(self.keys) and self.keys[at] == key
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+def _text_batches(shared=None):
+    """Texts of (id, url, html, host) by shared sorted keys of templates, or by those in a fifth column."""
+
+    def run(batches):
+        held("html", "", dict)
+        for batch in slices(batches):
+            keys = [shared.value] * batch.num_rows if shared else [np.array(sorted(x or ()), np.int64) for x in batch.column(4).to_pylist()]
+            texts = [Page(h or "").text(_OfHost(host, k)) for h, host, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), keys)]
+            cols = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "url", "text", "n_chars"])
+
+    return run
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, templates_at_once: int = TEMPLATES_AT_ONCE) -> DataFrame:
     """(id, url, text, n_chars) for each row of pages.
 
     Null, empty and textless pages have the empty text. Blocks are joined by one line end in page order; white space
     inside a block, line breaks included, is one space. Pages without a host are taken as one host. Markup left open
-    at the page's end counts as closed there.
+    at the page's end counts as closed there. Repeated rows and pages count once where subtrees are counted.
+
+    The templates' keys are broadcast if a count shows at most templates_at_once of 8 bytes; else the pages get theirs
+    by joins on the subtrees' keys and the pages' hashes.
     """
-    found = templates(pages, url_col, html_col, **options)
+    trees = subtrees(pages, url_col, html_col)
+    found = cut(templates(trees, min_pages, min_share))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
-    rows = rows.join(small(cut(found), HOSTS_AT_ONCE), "host", "left").select("id", "url", "html", "template")
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_text_batches, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, url string, text string, n_chars long"
+    if found.count() <= templates_at_once:
+        keys = np.sort(found.toArrow().column(0).to_numpy())
+        return rows.mapInArrow(_text_batches(rows.sparkSession.sparkContext.broadcast(keys)), schema).withColumnRenamed("id", id_col)
+    lists = trees.select("page", "key").distinct().join(found, "key").groupBy("page").agg(F.collect_set("key").alias("keys"))
+    rows = rows.mapInArrow(_page_batches, f"id {kind}, url string, html string, host string, page long").join(lists, "page", "left")
+    return rows.select("id", "url", "html", "host", "keys").mapInArrow(_text_batches(), schema).withColumnRenamed("id", id_col)
+
+
+def _page_batches(batches):
+    for batch in slices(batches):
+        pages = [_page(host, text) for host, text in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int64())], names=["id", "url", "html", "host", "page"])

@@ -1,13 +1,16 @@
 import hashlib
 import random
+import re
 import uuid
 
 import numpy as np
 import pytest
+import xxhash
 
 from barline.llm import ann, html, warc
 from barline.llm.common import shared_dir
 from tests.llm import brute
+from tests.llm.conftest import prose
 
 
 def rows_of(df):
@@ -101,6 +104,8 @@ def test_site_templates_go_and_shared_articles_stay(spark):
         rows.append((i, f"http://plain.example/{i}", f"<div>Home of plain</div><div>{body}</div><p>Made by us</p>"))
     story = "<article><h1>Story</h1><p>The same story on many pages.</p><div>Read more like this</div></article>"
     rows += [(100 + i, f"https://news.example:80/{i}", f"<div>top</div>{story}<div>{i}</div>") for i in range(30)]
+    # that box can only be told from the story by other stories that have it
+    rows += [(150 + i, f"https://news.example:80/more/{i}", f"<article><h1>Other</h1><p>{prose(rng, 20)}</p><div>Read more like this</div></article>") for i in range(30)]
     rows += [(200 + i, f"http://rare.example/{i}", "<div>Home of plain</div>x") for i in range(2)]
     found = {r["page_id"]: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all("Home" not in found[i]["text"] and "Made" not in found[i]["text"] and found[i]["text"].count("\n") == 2 for i in range(40))
@@ -109,6 +114,78 @@ def test_site_templates_go_and_shared_articles_stay(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
 
 
+def test_names_are_whole_words():
+    """Words beside a mark that change its meaning, wrappers of the text, and named parts of a line."""
+    assert html.Page('<div id="page" class="no-sidebar"><article><p>a<section id="related-work"><p>b</section><div class="header-image">c</div></article></div>').text(set()) == "a\nb\nc"
+    assert html.Page('<div class="sidebar-right"><article><p>a</article></div>').text(set()) == "a"
+    assert html.Page('<article><p>one <span class="ad">buy</span>two<p>three</article>').text(set()) == "one two\nthree"
+    assert html.Page('<article><p>a<div class="share-buttons top">x</div><div class="site-footer">y</div><ul class="related-posts"><li>z</ul></article>').text(set()) == "a"
+
+
+def plain_extract(pages, min_pages=html.MIN_PAGES, min_share=html.MIN_SHARE):
+    """Text of each page, with subtrees counted by plain loops; uses the parser alone."""
+    seen, parsed = {}, {}
+    for _, url, text in pages:
+        host = (re.match(r"[a-z]+://([^/:]*)", url or "") or [None, ""])[1]
+        page = parsed.setdefault((host, text), html.Page(text or ""))
+        kept = page.kept()
+        shingles = {}
+        for i in kept:
+            words = page.blocks[i][0].split()
+            shingles[i] = min([xxhash.xxh64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])] or [xxhash.xxh64_intdigest(words[0] + " ")])
+        article = any(page.blocks[i][1] for i in kept)
+        for digest, first, end, inside, prose in page.trees:
+            if not (prose and inside and article):
+                outside = sorted((i for i in kept if not first <= i < end), key=lambda i: (-len(page.blocks[i][0]), i))
+                for rank in (0, 1):
+                    around = shingles[outside[rank]] if rank < len(outside) else None
+                    seen.setdefault((host, digest, rank), {}).setdefault(around, set()).add((host, text))
+    found = {k[:2] for k, by in seen.items() if len(by) >= min_pages and len(by) >= min_share * sum(map(len, by.values()))}
+    out = []
+    for _, url, text in pages:
+        host = (re.match(r"[a-z]+://([^/:]*)", url or "") or [None, ""])[1]
+        page = parsed[host, text]
+        kept = page.kept()
+        article = any(page.blocks[i][1] for i in kept)
+        gone = {i for digest, first, end, inside, prose in page.trees if (host, digest) in found and not (prose and inside and article) for i in range(first, end)}
+        out.append("\n".join(page.blocks[i][0] for i in [i for i in kept if i not in gone] or kept))
+    return out
+
+
+@pytest.fixture(scope="module")
+def site():
+    rng, rows = random.Random(27), []
+    notice = "<div><p>Please take note that this site will move to another place, and that all of its many pages move with it; a note of well over forty words, with paragraphs, that every page of the site has, so that no count of its words can tell it from text.</p></div>"
+    box = "<div><a href=x>More from us</a> <a href=y>and from them</a></div>"
+    for i in range(60):
+        body = "".join(f"<p>{prose(rng, 30)}</p>" for _ in range(3))
+        rows.append((i, f"http://plain.example/{i}", f"<div>Home of plain</div>{notice}<div>{body}</div>"))
+        rows.append((100 + i, f"http://news.example/{i}", f"<h2>News</h2><article><h1>{i} {prose(rng, 3)}</h1>{body}{box}</article><div>end</div>"))
+    copied = [f"<p>{prose(rng, 40)}</p>" for _ in range(6)]
+    for i in range(40):  # near copies of one page without an article, and pages that are repeated whole
+        near = list(copied)
+        near[i % 6] = near[i % 6].replace("the", f"the{i}", 1)
+        rows.append((200 + i, "http://copies.example/", "".join(near)))
+        rows.append((300 + i, "http://same.example/", "<p>first</p><p>second</p><div>third</div>"))
+    rows += [(400 + i, "http://shell.example/", f"<div>only this</div>{'<b>x</b>' * i}") for i in range(3)]
+    rows += [(500 + i, "http://shell.example/", f"<div>only this</div><p>{prose(rng, 9)}</p>") for i in range(9)]
+    return rows
+
+
+def test_templates_decide_and_copies_stay(spark, site):
+    df = spark.createDataFrame(site, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert all("Home" not in found[i] and "take note" not in found[i] and found[i].count("\n") == 2 for i in range(60))
+    assert all("More from" not in found[100 + i] and found[100 + i].count("\n") == 3 for i in range(60))
+    assert all(found[200 + i].count("\n") == 5 for i in range(40))
+    assert all(found[300 + i] == "first\nsecond\nthird" for i in range(40))
+    assert found[400] == "only this" and all("only" not in found[500 + i] for i in range(9))
+    expected = dict(zip([r[0] for r in site], plain_extract(site)))
+    assert found == expected
+    # by joins, where the templates are too many for a broadcast
+    assert {r["page_id"]: r["text"] for r in html.extract(df, templates_at_once=1).collect()} == expected
+
+
 def test_page_odd_rows(spark):
     rows = [(1, None, None, 1), (2, "not a url", "<p>a", 2), (2, "not a url", "<p>a", 2), (None, "http://h", "", None), (3, "http://h", "<p>" + "word " * 100_000, 1)]
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host int"))

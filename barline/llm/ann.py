@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut, slices
+from barline.llm.common import cut, dealt_join, slices
 
 CURVES, WINDOW, FIRST, GROWTH, OWN = 4, 16, 720, 0.8, 0.4
-SAMPLE, BLOCK, KEY_BITS, FLIPS, HOT_QUERIES = 200_000, 16_384, 52, 10, 10_000
+SAMPLE, BLOCK, KEY_BITS, FLIPS = 200_000, 16_384, 52, 10
 _SUBSETS = np.array(list(product((0, 1), repeat=FLIPS)), dtype=bool)
 
 
@@ -312,13 +312,9 @@ def search(rows: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_c
     near = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score")))
     place = F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id"))
     lists = single.unionByName(several).withColumn("place", place).where(F.col("place") <= k + 1).groupBy("q1", "q2").agg(near.alias("near"))
-    # a vector that very many queries have is joined in parts; there is at most one such for every HOT_QUERIES queries
+    # a vector that very many queries have is joined in parts
     queries = own.where(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), F.col("p1").alias("q1"), F.col("p2").alias("q2"))
-    hot = queries.groupBy("q1", "q2").count().where(F.col("count") > HOT_QUERIES).select("q1", "q2", F.ceil(F.col("count") / HOT_QUERIES).cast("int").alias("parts"))
-    hot = F.broadcast(cut(hot))
-    parts = F.coalesce("parts", F.lit(1))
-    queries = queries.join(hot, ["q1", "q2"], "left").withColumn("part", F.pmod(F.xxhash64("query_id"), parts).cast("int")).drop("parts")
-    lists = lists.join(hot, ["q1", "q2"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    out = queries.join(lists, ["q1", "q2", "part"]).select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score").where("vec_id <> query_id")
+    lists = lists.join(queries.groupBy("q1", "q2").count(), ["q1", "q2"])
+    out = dealt_join(queries, lists, ["q1", "q2"], "query_id").select("query_id", F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score").where("vec_id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

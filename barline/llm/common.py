@@ -6,15 +6,18 @@ import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on a local master only, a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="barline-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -31,6 +34,32 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+DEALT = 1000
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, how: str = "inner", dealt: int | None = None) -> DataFrame:
+    """rows joined with groups, one row a key, whose column `count` has the number of rows of the key in rows.
+
+    A key of more than `dealt` rows goes to several tasks, by the hash of the rows' column `by`. There is at most one
+    such key for every `dealt` rows, so the list of them, which is broadcast, is small beside the rows.
+    """
+    dealt = dealt or DEALT
+    part, parts = fresh(rows.join(groups.limit(0), keys), "part", "parts")
+    hot = cut(groups.where(F.col("count") > dealt).select(*keys, F.ceil(F.col("count") / dealt).cast("int").alias(parts)))
+    n = F.coalesce(parts, F.lit(1))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn(part, F.pmod(F.xxhash64(by), n).cast("int")).drop(parts)
+    groups = groups.drop("count").join(F.broadcast(hot), keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), n - 1))).drop(parts)
+    return rows.join(groups, [*keys, part], how).drop(part)
+
+
+def one_of_each(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of each id: of the smallest text, and of those by the other columns' hash."""
+    (place,) = fresh(rows, "place")
+    others = [c for c in rows.columns if "map<" not in rows.schema[c].dataType.simpleString()]
+    order = W.partitionBy(id_col).orderBy(text_col, F.xxhash64(*[f"`{c}`" for c in others]))
+    return rows.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like names that df doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []

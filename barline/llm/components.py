@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut
+from barline.llm.common import cut, dealt_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,12 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.unionByName(links.select(b.alias("a"), a.alias("b")))
         near = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p")))
-        up = near.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        step = cut(near.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")))
+        # very many nodes may point at one
+        up = near.select(F.col("v").alias("p"), F.col("p").alias("pp")).join(near.groupBy("p").count(), "p")
+        step = cut(dealt_join(near, up, ["p"], "v", "left").select("v", F.coalesce("pp", "p").alias("p")))
         if first:
             labels, first = step.select(F.col("v").alias("node"), F.col("p").alias("root")), False
         else:
-            labels = cut(labels.join(step.withColumnRenamed("v", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            onward = step.withColumnRenamed("v", "root").join(labels.groupBy("root").count(), "root")
+            labels = cut(dealt_join(labels, onward, ["root"], "node", "left").select("node", F.coalesce("p", "root").alias("root")))
         of_a = step.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         of_b = step.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         links = links.join(of_a, "a").join(of_b, "b").where("pa <> pb")

@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams against training token windows.
 
 The benchmark is cut in chunks of at most `max_words` words. Each chunk is one broadcast set of window hashes,
-so its size is bounded; a larger benchmark takes more passes over the rows in the same job, never a larger
-broadcast. Hash hits are verified word by word.
+so its size is bounded; a larger benchmark takes more passes over the rows, one chunk at a time, never a larger
+broadcast: the rows, with what was found so far, are materialised between passes. Hash hits are verified word by word.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.common import chain, fresh, held, raw, slices
+from barline.llm.common import chain, cut, fresh, held, raw, slices
 
 WINDOW, MAX_WORDS, MULTIPLIER = 13, 2_000_000, np.uint64(0x9E3779B97F4A7C15)
 _SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
@@ -135,8 +135,12 @@ def _scanned(docs: DataFrame, bench: DataFrame, text_col: str, spans: str = "spa
     none = {spans: F.coalesce(F.lit(None).cast(span), F.array().cast(span)), items: F.coalesce(F.lit(None).cast(T.ArrayType(kind)), F.array().cast(T.ArrayType(kind)))}
     out = docs.withColumns(none)
     at, sc = out.columns.index(text_col), docs.sparkSession.sparkContext
-    sets = window_sets(bench, item_col, item_text, window, max_words)
-    return out, chain(*[_scan_batches(sc.broadcast(found), at) for found in sets])
+    scan = None
+    for found in window_sets(bench, item_col, item_text, window, max_words):
+        if scan:
+            out = cut(out.mapInArrow(scan, out.schema))
+        scan = _scan_batches(sc.broadcast(found), at)
+    return out, scan
 
 
 def _report_batches(at: int, ids: str):

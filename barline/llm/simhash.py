@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut, fresh, held, raw, slices
+from barline.llm.common import cut, dealt_join, fresh, held, one_of_each, raw, slices
 from barline.llm.components import components
 
 SHINGLE, RADIUS, SEED, PIVOTS, HOT = 4, 4, 42, 16, 8192
@@ -162,19 +162,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null component_id). Repeated rows give repeated results.
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle))
-    classes = cut(own.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = cut(own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("count")))
     roots = components(links(classes.select("fp"), radius))
-    placed = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
+    placed = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "count", F.coalesce("root", "fp").alias("root")))
+    named = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("count")))
+    by_fp = cut(dealt_join(placed.withColumnRenamed("count", "rows"), named, ["root"], "fp").select("fp", "component_id", F.col("rows").alias("count")))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return own.join(by_fp, "fp").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
+    return dealt_join(own, by_fp, ["fp"], "id").select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each near-duplicate class: that with the smallest id. Rows of null id stay; a repeated id stays once."""
+    """docs with one row of each near-duplicate class: that with the smallest id. Rows of null id stay; of a repeated id the row of the smallest text."""
     (member,) = fresh(docs, "member")
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, **options)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(member)).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col(member), "left_semi").dropDuplicates([id_col])
+    kept = one_of_each(docs.join(keep, F.col(id_col) == F.col(member), "left_semi"), id_col, text_col)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -22,9 +22,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut, shared_dir, small
+from barline.llm.common import cut, dealt_join, shared_dir
 
-MAGIC, RANGE, HEADER, RECORDS_PER_FILE, SMALLEST_REVISIT, GROUPS_AT_ONCE = b"WARC/1.1\r\n", 4 << 20, 1 << 16, 20_000, 1000, 1_000_000
+MAGIC, RANGE, AHEAD, RECORDS_PER_FILE, SMALLEST_REVISIT = b"WARC/1.1\r\n", 4 << 20, 1 << 16, 20_000, 1000
+GROUPS_AT_ONCE, _GROUP = 500_000, ["payload_digest", "payload_bytes"]
 _END = "\r\n"
 
 
@@ -37,8 +38,10 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
     shared = rows.where(F.col("payload_bytes") >= SMALLEST_REVISIT).groupBy("payload_digest", "payload_bytes")
-    shared = cut(shared.agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1 and response_id is not null").drop("n"))
-    out = rows.join(small(shared, GROUPS_AT_ONCE), ["payload_digest", "payload_bytes"], "left")
+    shared = cut(shared.agg(F.max("page_id").alias("response_id"), F.count("*").alias("count")).where("count > 1 and response_id is not null"))
+    # payloads move only if the groups are too many for a broadcast, and then those of a group to several tasks
+    few = shared.limit(GROUPS_AT_ONCE + 1).count() <= GROUPS_AT_ONCE
+    out = rows.join(F.broadcast(shared.drop("count")), _GROUP, "left") if few else dealt_join(rows, shared, _GROUP, "page_id", "left")
     again = F.col("response_id").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("response_id"), F.lit(False))
     return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("response_id"))).drop("response_id")
 
@@ -95,16 +98,17 @@ def _fields(header: bytes) -> dict[bytes, bytes]:
 
 def candidates_of(file, start: int, end: int, size: int):
     """Every candidate with its magic in [start, end): offset, successor and what the record says."""
-    data = file.read_at(min(end + HEADER, size) - start, start)
+    data = bytearray(file.read_at(min(end + AHEAD, size) - start, start))
     at = data.find(MAGIC)
     while 0 <= at < end - start:
-        stop = data.find(b"\r\n\r\n", at)
-        fields = _fields(data[at:stop]) if stop >= 0 else {}
+        while (stop := data.find(b"\r\n\r\n", at)) < 0 and start + len(data) < size:  # a header of any length
+            data += file.read_at(min(max(AHEAD, len(data)), size - start - len(data)), start + len(data))
+        fields = _fields(bytes(data[at:stop])) if stop >= 0 else {}
         length = fields.get(b"content-length", b"")
         if length.isdigit() and b"warc-type" in fields:
             body, n = start + stop + 4, int(length)
             after = body + n + 4
-            inner = data[stop + 4 : stop + 4 + n] if after <= start + len(data) else file.read_at(n, body) if after <= size else b""
+            inner = bytes(data[stop + 4 : stop + 4 + n]) if after <= start + len(data) else file.read_at(n, body) if after <= size else b""
             if len(inner) == n and file.read_at(4, body + n) == b"\r\n\r\n":
                 http, _, payload = inner.partition(b"\r\n\r\n")
                 told = _fields(http).get(b"content-length", b"")
@@ -161,22 +165,27 @@ def _scan_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=list(names))
 
 
-def candidates(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """All candidate records of the archives under path."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").where("length > 0")
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, path, length) of the archives under path that aren't empty."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.xxhash64("path").alias("file"), "path", "length").where("length > 0")
+
+
+def candidates(files: DataFrame, size: int = RANGE) -> DataFrame:
+    """All candidate records of archives."""
     total = files.agg(F.sum("length")).first()[0] or 0
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))
-    ranges = files.select(F.xxhash64("path").alias("file"), "path", start.alias("start"), "length")
+    ranges = files.select("file", "path", start.alias("start"), "length")
     ranges = ranges.select("file", "path", "start", F.least(F.col("start") + size, "length").alias("end"), "length")
     return ranges.repartition(max(1, total // (2 * size))).mapInArrow(_scan_batches, _CANDIDATE)
 
 
 def entries(steps: DataFrame) -> DataFrame:
-    """The (file, at) of steps(file, range, at, exit) where the chain from at = 0 enters a range, by pointer jumping."""
+    """The (file, at) of steps(file, range, at, exit) where the chain from at = 0 enters a range, and where it ends, by pointer jumping."""
     jump = cut(steps.where("exit is not null").select("file", "at", F.col("exit").alias("to")))
     found = cut(steps.where("at = 0").select("file", "at"))
     longest = steps.groupBy("file").agg(F.count_distinct("range").alias("n")).agg(F.max("n")).first()[0] or 0
-    for _ in range(max(0, int(longest - 1).bit_length())):
+    for _ in range(int(longest).bit_length()):
         further = found.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
         found = cut(found.unionByName(further).distinct())
         onward = jump.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
@@ -184,27 +193,35 @@ def entries(steps: DataFrame) -> DataFrame:
     return found
 
 
-def reachable(found: DataFrame) -> DataFrame:
-    """The candidates on the chains from the files' starts."""
-    ways = found.join(entries(found), ["file", "at"]).select("file", "range", F.col("first").alias("entered"))
+def reachable(found: DataFrame, files: DataFrame) -> DataFrame:
+    """The candidates on the chains from the files' starts. A chain that doesn't end where its file does is an error."""
+    entered = cut(entries(found))
+    broken = files.join(entered, (files["file"] == entered["file"]) & (files["length"] == entered["at"]), "left_anti").select("path").first()
+    if broken:
+        raise ValueError(f"the chain of records breaks off in {broken[0]}")
+    ways = found.join(entered, ["file", "at"]).select("file", "range", F.col("first").alias("entered"))
     return found.join(ways, ["file", "range"]).where("first <= entered and entered < last").drop("entered")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record that the files' chains reach.
 
-    A response whose payload doesn't have the digest that its header tells is an error. No archives: no rows.
+    A response whose payload doesn't have the digest that its header tells is an error, and so is a chain that breaks off
+    before its file's end. No archives: no rows. The archives aren't needed any more when this returns.
     """
-    all_found = cut(candidates(spark, path))
-    kept = reachable(all_found)
+    files = cut(files_of(spark, path))
+    kept = reachable(cut(candidates(files)), files)
     wrong = (F.col("record_type") == "response") & ((F.col("found_digest") != F.col("payload_digest")) | (F.col("found_bytes") != F.col("payload_bytes")))
     digest = F.when(wrong, F.raise_error(F.lit("a payload doesn't have its digest"))).otherwise(F.col("payload_digest"))
     return kept.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """Write a record for each row of pages to the shared folder and read the archives back."""
+    """Write a record for each row of pages to the shared folder, read the archives back, and delete them."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(plan_records(pages, id_col, payload_col), path)
-    return read_archives(spark, path)
+    out = read_archives(spark, path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return out

@@ -60,7 +60,7 @@ def contamination(text, found):
     return len(words), len(hit), len(items), digest, len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
-def line_dedup(docs, window=3, min_words=8):
+def line_dedup(docs, window=3, min_words=1):
     """docs: (id, text) in order of id; texts without later windows."""
     from barline.llm.linededup import lines_of
 

@@ -1,4 +1,5 @@
 import hashlib
+import pathlib
 import random
 import re
 import uuid
@@ -52,12 +53,36 @@ def test_warc_small_ranges_reject_magic_inside_payloads(spark, pages):
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     warc.write_archives(warc.plan_records(df.coalesce(1)), path, records_per_file=20)
-    found = warc.candidates(spark, path, size=700).cache()
-    kept = warc.reachable(found).cache()
+    files = warc.files_of(spark, path)
+    found = warc.candidates(files, size=700).cache()
+    kept = warc.reachable(found, files).cache()
     assert found.count() > kept.count() + 30
     assert sorted((r["page_id"] if r["page_id"] is not None else 0, r["payload_digest"]) for r in kept.collect()) == sorted((r[0] or 0, r[2]) for r in expected_records(pages))
 
 
+def test_warc_headers_of_any_length_and_broken_chains(spark, monkeypatch):
+    rows = [(1, "http://h/" + "x" * 70_000, "one"), (2, None, "two"), (3, "u", "three")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(warc.plan_records(df.coalesce(1)), path)
+    files = warc.files_of(spark, path)
+    monkeypatch.setattr(warc, "AHEAD", 64)
+    assert sorted(r["page_id"] for r in warc.reachable(warc.candidates(files, size=64), files).collect()) == [1, 2, 3]
+    part = next(p for p in pathlib.Path(path.removeprefix("file:")).glob("part-*"))
+    data = part.read_bytes()
+    part.write_bytes(data[:-40] + b"?" * 40)  # the last record no longer ends as it should
+    pathlib.Path(part.parent, f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="breaks off"):
+        warc.read_archives(spark, path)
+
+
+def test_warc_shared_payloads_by_join(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "GROUPS_AT_ONCE", 0)
+    monkeypatch.setattr("barline.llm.common.DEALT", 2)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert sorted(rows_of(warc.round_trip(df)), key=str) == sorted(expected_records(pages), key=str)
+
+
 def test_chains_are_those_of_single_steps():
     rng = random.Random(25)
     for _ in range(200):
@@ -230,7 +255,7 @@ def test_copies_of_a_vector_count_by_their_ids(spark, monkeypatch):
     rng = np.random.default_rng(23)
     vectors = clustered(rng, 300) | {i: np.ones(16, np.float32) for i in range(300, 600)}
     assert as_dict(ann.search(frame(spark, vectors), 7, 20)) == brute.nearest(vectors, 7, 20)
-    monkeypatch.setattr(ann, "HOT_QUERIES", 4)  # the queries that are copies are joined in parts
+    monkeypatch.setattr("barline.llm.common.DEALT", 4)  # the queries that are copies are joined in parts
     assert as_dict(ann.search(frame(spark, vectors), 7, 20)) == brute.nearest(vectors, 7, 20)
 
 

@@ -189,7 +189,7 @@ def test_lines_of_a_passage_are_alike_wherever_it_stands(letters, most):
         passage = " ".join(passage if rng.random() < 0.5 else [*passage[:-1], passage[-1][:-1]])
         places = ["", "Yes. ", "  ", *(" ".join(words(rng.randrange(1, 30))) + rng.choice([" ", ". ", "\n"]) for _ in range(3))]
         texts = [(p + passage + rng.choice(["", "\n", " ", ". "]) + " ".join(words(rng.randrange(20)))).encode() for p in places]
-        of, _, keys, _ = linededup.windows_of(texts, min_words=1)
+        of, _, keys, _ = linededup.windows_of(texts)
         assert all(b"".join(linededup.lines_of(t)) == t for t in texts)
         assert set.intersection(*(set(keys[of == k].tolist()) for k in range(len(texts))))
 

@@ -331,7 +331,7 @@ def publish_lexicon(docs: DataFrame, shared, text_col: str = "text", share: floa
     return name
 
 
-def _encode_batches(shared, name: str, columns: str):
+def _encode_batches(shared, name: str, columns: str, with_ids: bool = False):
     """columns: digest, or whole (ids and decoded text)."""
 
     def run(batches):
@@ -346,17 +346,20 @@ def _encode_batches(shared, name: str, columns: str):
                 cols = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([sha(x).hexdigest() for x in ids]), "decoded_sha256": pa.array([sha(x.encode()).hexdigest() for x in texts])}
             else:
                 cols = {"ids": pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols.values()], names=["id", *cols])
+            if with_ids:
+                cols = {"ids": pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids], pa.list_(pa.int32()))} | cols
+            kept = {batch.schema.names[i]: batch.column(i) for i in range(2, batch.num_columns)}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept.values(), *cols.values()], names=["id", *kept, *cols])
 
     return run
 
 
-def _apply(docs: DataFrame, id_col: str, text_col: str, path: str | None, share: float, columns: str, schema: str) -> DataFrame:
+def _apply(docs: DataFrame, id_col: str, text_col: str, path: str | None, share: float, columns: str, schema: str, keep: list[str] = [], with_ids: bool = False) -> DataFrame:
     shared = Shared(docs.sparkSession, path)
     name = publish_lexicon(docs, shared, text_col, share)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_encode_batches(shared, name, columns), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+    kinds = ["id " + rows.schema["id"].dataType.simpleString(), *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)] + ["ids array<int>"] * with_ids
+    return rows.mapInArrow(_encode_batches(shared, name, columns, with_ids), f"{', '.join(kinds)}, {schema}").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, share: float = LEXICON_SHARE) -> DataFrame:
@@ -364,9 +367,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return _apply(docs, id_col, text_col, path, share, "whole", "ids array<int>, decoded string")
 
 
-def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, share: float = LEXICON_SHARE) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): what encode() gives, as a count and two digests."""
-    return _apply(docs, id_col, text_col, path, share, "digest", "n_tokens long, ids_sha256 string, decoded_sha256 string")
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, share: float = LEXICON_SHARE, keep: list[str] = [], ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): what encode() gives, as a count and two digests.
+
+    After id come the columns of docs named in keep, and, if asked for, the ids themselves.
+    """
+    return _apply(docs, id_col, text_col, path, share, "digest", "n_tokens long, ids_sha256 string, decoded_sha256 string", keep, ids)
 
 
 def _decode_batches(shared):

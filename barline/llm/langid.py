@@ -201,18 +201,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return mixture(docs, fit(docs, id_col, text_col, lang_col, **options), id_col, text_col).drop("shares")
 
 
-def _keep_batches(shared, at: int, min_score: float):
+def _keep_batches(shared, at: int, lang_at: int | None, min_score: float):
     def run(batches):
         ours, theirs = tee(slices(batches))
         slim = (pa.RecordBatch.from_arrays([pa.array(range(x.num_rows)), x.column(at), pa.nulls(x.num_rows, pa.bool_())], names=["id", "text", "held_out"]) for x in theirs)
         for batch, found in zip(ours, _predict_batches(shared)(slim)):
+            if lang_at is not None:
+                told = found.column(2).cast(batch.column(lang_at).type)
+                batch = pa.RecordBatch.from_arrays([told if i == lang_at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
             keep = [lang != UNKNOWN and score >= min_score for lang, score in zip(found.column(2).to_pylist(), found.column(3).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0, **options) -> DataFrame:
-    """docs without the rows whose language can't be told (`und`) or whose main language has a share under min_score."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.0, tell_lang: bool = False, **options) -> DataFrame:
+    """docs without the rows whose language can't be told (`und`) or whose main language has a share under min_score.
+
+    tell_lang puts the language that was found in lang_col, whatever was there.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, **options))
-    return docs.mapInArrow(_keep_batches(shared, docs.columns.index(text_col), min_score), docs.schema)
+    return docs.mapInArrow(_keep_batches(shared, docs.columns.index(text_col), docs.columns.index(lang_col) if tell_lang else None, min_score), docs.schema)

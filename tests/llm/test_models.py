@@ -46,6 +46,41 @@ def test_mixture_proportions(spark, tongues):
     assert found[2]["shares"] == {"cc": pytest.approx(1.0)}
 
 
+def plain_share(words, model, allowed):
+    """Proportions of the allowed languages by ROUNDS steps of EM, and the log-likelihood, by plain loops."""
+    like = [{k: math.exp(sum(model.logp[model.row.get(g, len(model.row)), k] for g in langid.grams_of(w))) for k in allowed} for w in words]
+    share = {k: 1 / len(allowed) for k in allowed}
+    for _ in range(langid.ROUNDS):
+        part = [{k: x[k] * share[k] / sum(x[j] * share[j] for j in allowed) for k in allowed} for x in like]
+        share = {k: sum(p[k] for p in part) / len(words) for k in allowed}
+    return share, sum(math.log(sum(x[k] * share[k] for k in allowed)) for x in like)
+
+
+def test_mixtures_against_brute_force(spark, tongues):
+    _, df = tongues
+    model, rng = langid.fit(df), random.Random(17)
+    texts = [(i, invented(rng, "aa", rng.randrange(1, 20)) + " " * (i % 2) + invented(rng, rng.choice(["bb", "cc"]), rng.randrange(20)) * (i % 2)) for i in range(40)]
+    found = {r["doc_id"]: r for r in langid.mixture(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    several = 0
+    for i, text in texts:
+        words = [w for w in map(langid.letters_of, text.split()) if w]
+        n = range(len(model.langs))
+        single = [sum(math.log(math.exp(sum(model.logp[model.row.get(g, len(model.row)), k] for g in langid.grams_of(w)))) for w in words) for k in n]
+        best, value = {int(np.argmax(single)): 1.0}, max(single)
+        full, _ = plain_share(words, model, list(n))
+        order = sorted(n, key=lambda k: -full[k])
+        for k in range(2, len(model.langs) + 1):
+            share, like = plain_share(words, model, order[:k])
+            if like - langid.PENALTY * (k - 1) * math.log(len(words) + 1) <= value:
+                break
+            best, value = share, like - langid.PENALTY * (k - 1) * math.log(len(words) + 1)
+        several += len(best) > 1
+        top = max(best, key=lambda k: (best[k], -k))
+        assert found[i]["lang_pred"] == model.langs[top] and abs(found[i]["score"] - best[top]) < 1e-6
+        assert found[i]["shares"] == {model.langs[k]: pytest.approx(s, abs=1e-6) for k, s in best.items()}
+    assert several > 5
+
+
 def test_em_never_lowers_the_likelihood():
     rng = np.random.default_rng(13)
     like, sizes = rng.random((200, 3)), np.array([50, 100, 50])

@@ -40,6 +40,7 @@ def test_pipeline_against_brute_force(spark, folder):
     from tokenizers import Tokenizer
 
     path, rows, bench = folder
+    langs = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.read.parquet(f"{path}/documents.parquet")).collect()}
     docs = [(r[0], r[1]) for r in rows if any(c.isalpha() for c in r[1] or "")]
     docs = list(brute.line_dedup(docs).items())
     classes = brute.components([i for i, _ in docs], [brute.fingerprint(t) for _, t in docs])
@@ -49,9 +50,9 @@ def test_pipeline_against_brute_force(spark, folder):
     library, expected = Tokenizer.from_file(bpe.vocabulary_path()), {}
     for i, t in docs:
         ids = library.encode(t, add_special_tokens=False).ids
-        expected[i] = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        expected[i] = langs[i], ids, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     out = pipeline.run(spark, path)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert out.columns == ["doc_id", "lang", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == expected
     assert 20 < len(expected) < 80
 

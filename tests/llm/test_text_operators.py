@@ -198,8 +198,10 @@ def test_lines_of_a_passage_are_alike_wherever_it_stands(letters, most):
 
 
 def test_token_counts_against_brute_force(spark, odd_docs, empty_docs):
-    pieces = tokencount.vocabulary()
+    pieces = tokencount.fit(odd_docs)
+    assert abs(sum(np.exp(list(pieces.values()))) - 1) < 1e-9 and pieces["▁the"] > pieces["▁Java"]
     unknown = min(pieces.values()) - 10
+    assert sorted(rows_of(tokencount.count_tokens(odd_docs)), key=str) == sorted(rows_of(tokencount.count_tokens(odd_docs, model=pieces)), key=str)
     for r in tokencount.count_tokens(odd_docs.where("doc_id not in (5, 6) or doc_id is null")).join(odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id").collect():
         words = (r["text"] or "").split()
         assert (r["n_words"], r["n_tokens"]) == (len(words), sum(brute.tokens("▁" + w, pieces, unknown) for w in words))
@@ -210,7 +212,9 @@ def test_token_counts_against_brute_force(spark, odd_docs, empty_docs):
 def test_token_counts_are_those_of_a_unigram_library():
     from tokenizers import Tokenizer, models
 
-    pieces = tokencount.vocabulary()
+    pieces = dict.fromkeys(tokencount.Pieces().names())
+    rng = random.Random(16)
+    pieces = {p: -rng.uniform(5, 15) for p in pieces}
     model = Tokenizer(models.Unigram([("<unk>", -100.0), *pieces.items()], 0, False))
     counter, rng = tokencount.TrieCounter(pieces), random.Random(9)
     words = {"▁" + "".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(1, 12))) for _ in range(300)}

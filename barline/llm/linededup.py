@@ -17,12 +17,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barline.llm.common import fresh, held, raw, slices
 
 WINDOW, LONG = 3, 12
-SALTS, CACHE, VERSION_BITS = 64, 200_000, 25
+SALTS, CACHE, VERSION_BITS, SAMPLE, FREQUENT = 64, 200_000, 25, 5_000, 10
 _END = re.compile(rb"[.!?\n](?:(?<=\n)\s*|[.!?]*\s+)")
 _WORD = re.compile(rb"\s*\S+\s*")
 
@@ -40,22 +41,16 @@ class Hashes(dict):
 _HASHES = Hashes()
 
 
-def cuts(hashes: list[int]) -> list[int]:
+def cuts(hashes: np.ndarray) -> np.ndarray:
     """Places of the last smallest hash of every LONG consecutive ones, in order."""
-    out, least = [], -1
-    for i in range(len(hashes) - LONG + 1):
-        last = i + LONG - 1
-        if least < i:
-            low = min(hashes[i : last + 1])
-            least = last
-            while hashes[least] != low:
-                least -= 1
-        elif hashes[last] <= hashes[least]:
-            least = last
-        else:
-            continue
-        out.append(least)
-    return out
+    least = hashes.astype(np.uint64) << np.uint64(32) | np.uint64(0xFFFFFFFF) - np.arange(len(hashes), dtype=np.uint64)
+    size = 1
+    while size < LONG:  # the smallest of twice as many, then of LONG
+        more = min(size, LONG - size)
+        least = np.minimum(least[:-more], least[more:])
+        size += more
+    out = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
+    return out[np.flatnonzero(np.diff(out, prepend=-1))]
 
 
 def lines_of(text: bytes) -> list[bytes]:
@@ -68,7 +63,7 @@ def lines_of(text: bytes) -> list[bytes]:
         if len(line) > 2 * LONG and len(line.split()) > LONG:
             words = _WORD.findall(line)
             done = 0
-            for at in cuts([_HASHES[w] for w in words]):
+            for at in cuts(np.array([_HASHES[w] for w in words], dtype=np.uint32)).tolist():
                 out.append(b"".join(words[done : at + 1]))
                 done = at + 1
             if done < len(words):
@@ -107,19 +102,47 @@ def windows_of(texts: list[bytes], window: int = WINDOW, min_words: int = 1) ->
     return text, place, key.view(np.int64), np.where(new, -1, first)
 
 
-def _window_batches(window: int, min_words: int):
-    """h, id, and the text's version, the covered span's start and length and whether the text had the window before."""
+def _sample_batches(window: int, min_words: int):
+    def run(batches):
+        held("linededup", "", dict)
+        for batch in slices(batches):
+            _, _, key, first = windows_of([t or b"" for t in raw(batch, 0)], window, min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(key[first < 0])], names=["h"])
+
+    return run
+
+
+def frequent(rows: DataFrame, window: int, min_words: int) -> np.ndarray:
+    """Sorted hashes of windows that at least `FREQUENT` texts of a sample of about `SAMPLE` rows have: SAMPLE / FREQUENT
+    times the windows of a text at most. It decides which are dealt out, never what is removed."""
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 20)) < int((1 << 20) * share)).select("text")
+    found = drawn.mapInArrow(_sample_batches(window, min_words), "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    return np.sort(found.select("h").toArrow().column(0).to_numpy())
+
+
+def _window_batches(window: int, min_words: int, often):
+    """h, id, the text's version, the covered span's start and length and whether the text had the window before, and salt.
+
+    The salt is -1 but for frequent windows.
+    """
 
     def run(batches):
         held("linededup", "", dict)
+        hot = often.value
         for batch in slices(batches):
             text, place, key, first = windows_of([t or b"" for t in raw(batch, 2)], window, min_words)
             version = batch.column(1).to_numpy()[text].astype(np.int64) & (1 << VERSION_BITS) - 1
             start = np.where(first < 0, place, np.maximum(place, first + window))
             some = start < place + window
             packed = (version << 39 | start << 8 | (place + window - start) << 1 | (first >= 0))[some]
-            cols = [pa.array(key[some]), batch.column(0).take(pa.array(text[some])), pa.array(packed)]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "packed"])
+            key, text = key[some], text[some]
+            salt = np.full(len(key), -1, np.int8)
+            if len(hot):
+                salted = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                salt[salted] = (text[salted] * 0x9E37 + version[some][salted]) % SALTS
+            cols = [pa.array(key), batch.column(0).take(pa.array(text)), pa.array(packed), pa.array(salt)]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "id", "packed", "salt"])
 
     return run
 
@@ -169,8 +192,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counted adds n_removed, the number of lines cut, and needs docs without a column of this name. Null texts stay null;
     texts of fewer lines than a window are never changed; a text may become empty. Rows of equal id are one document
-    to each other (told apart by 25 bits of their texts' hashes): what they share stays in each. Null ids come last, and windows that only they have stay in all of
-    them. In a run of one line repeated, the first window's lines stay. Windows are told by 64-bit hashes: of n different
+    to each other (told apart by 25 bits of their texts' hashes): what they share stays in each. Null ids come last, and
+    windows that only they have stay in all of them. In a run of one line repeated, the first window's lines stay. Windows are told by 64-bit hashes: of n different
     ones about n ** 2 / 2 ** 65 pairs are taken for equal (one in 30 runs at 10 ** 9, some hundreds of 10 ** 11).
     """
     if not 1 <= window <= 127:
@@ -179,18 +202,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(version, F.hash(F.col(text_col)).bitwiseAND((1 << VERSION_BITS) - 1))
     rows = keyed.select(F.col(id_col).alias("id"), F.col(version).alias("version"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_window_batches(window, min_words), f"h long not null, id {kind}, packed long not null")
+    # Windows are shuffled once, by hash; those frequent in a sample by hash and salt, so that the occurrences of a hot
+    # window go to many tasks. A task counts its windows by a sort; a frequent one's counts are put together and broadcast.
+    often = docs.sparkSession.sparkContext.broadcast(frequent(rows, window, min_words))
+    found = rows.mapInArrow(_window_batches(window, min_words, often), f"h long not null, id {kind}, packed long not null, salt byte not null")
     length = F.shiftright("packed", 1).bitwiseAND(127).cast("int")
-    # The windows are shuffled once, by hash and salt, and that exchange is used twice: to count, and to find what to
-    # remove. So the occurrences of a frequent window are dealt out to many tasks, and Python runs once. The count is
-    # put together by hash from a row for each salt; a mask tells the salts that a repeated window has to go to.
-    dealt = found.withColumn("salt", F.hash("id").bitwiseAND(SALTS - 1)).repartition("h", "salt")
-    part = dealt.groupBy("h", "salt").agg(F.min("id").alias("first"), F.count_if(length > 0).alias("n"))
-    mask = F.bit_or(F.expr("shiftleft(1L, salt)")).alias("mask")
-    whole = part.groupBy("h").agg(F.min("first").alias("first"), F.sum("n").alias("n"), mask).where("n > 1")
-    salts = F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(mask, s) & 1) = 1)")
-    copies = whole.select("h", "first", F.explode(salts).alias("salt"))
-    joined = dealt.join(copies, ["h", "salt"])
+    dealt = found.repartition("h", "salt")
+    salted = F.when(F.rand(0) < 2, F.col("salt")) >= 0  # salt >= 0, but not to be pushed below the exchange, which both uses share
+    own = dealt.where(salted).groupBy("h").agg(F.min("id").alias("all_first"), F.count_if(length > 0).alias("all_n"))
+    same = W.partitionBy("h", "salt")
+    here = dealt.withColumns({"first": F.min("id").over(same), "n": F.count_if(length > 0).over(same)}).join(F.broadcast(own), "h", "left")
+    hot = F.col("salt") >= 0
+    joined = here.withColumns({"first": F.when(hot, F.col("all_first")).otherwise(F.col("first")), "n": F.when(hot, F.col("all_n")).otherwise(F.col("n"))}).where("n > 1")
     later = joined.where((F.col("packed").bitwiseAND(1) == 1) | ~F.col("id").eqNullSafe(F.col("first")))
     start = F.shiftright("packed", 8).bitwiseAND((1 << 31) - 1).cast("int")
     span = later.select(F.col("id").alias(of_id), F.shiftrightunsigned("packed", 39).cast("int").alias(of_version), F.struct(start.alias("s"), (start + length).alias("e")).alias("span"))

@@ -208,7 +208,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = rows.mapInArrow(_window_batches(window, min_words, often), f"h long not null, id {kind}, packed long not null, salt byte not null")
     length = F.shiftright("packed", 1).bitwiseAND(127).cast("int")
     dealt = found.repartition("h", "salt")
-    salted = F.when(F.rand(0) < 2, F.col("salt")) >= 0  # salt >= 0, but not to be pushed below the exchange, which both uses share
+    salted = F.when(F.spark_partition_id() >= 0, F.col("salt")) >= 0  # salt >= 0, but not to be pushed below the exchange, which both uses share
     own = dealt.where(salted).groupBy("h").agg(F.min("id").alias("all_first"), F.count_if(length > 0).alias("all_n"))
     same = W.partitionBy("h", "salt")
     here = dealt.withColumns({"first": F.min("id").over(same), "n": F.count_if(length > 0).over(same)}).join(F.broadcast(own), "h", "left")

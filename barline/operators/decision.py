@@ -27,15 +27,20 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, value: str) -> DataFrame:
-    """left with the value of the right row nearest to its position (numbers); of two equally near the earlier one."""
+    """left with the value of the right row nearest to its position (numbers); of two equally near the earlier one.
+
+    Of right rows at one position the smallest value counts. Both frames run from an end of the series, so a row costs
+    the same wherever it stands.
+    """
     kind = right.schema[value].dataType
     r = F.struct(F.col(right_at).cast("long").alias("at"), F.col(value).alias("v"))
     none = F.lit(None).cast(right.select(r.alias("r")).schema["r"].dataType)
-    a = left.select(*keys, F.col(left_at).cast("long").alias("_t"), F.struct(*left.columns).alias("_l"), none.alias("_r"))
-    b = right.select(*keys, F.col(right_at).cast("long").alias("_t"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), r.alias("_r"))
-    w = W.partitionBy(*keys).orderBy("_t")
-    back, on = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(0, W.unboundedFollowing)
-    both = a.unionByName(b).withColumns({"_b": F.last("_r", ignorenulls=True).over(back), "_f": F.first("_r", ignorenulls=True).over(on)})
+    a = left.select(*keys, F.col(left_at).cast("long").alias("_t"), F.struct(*left.columns).alias("_l"), none.alias("_r"), F.lit(1).alias("_side"))
+    b = right.select(*keys, F.col(right_at).cast("long").alias("_t"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_l"), r.alias("_r"), F.lit(0).alias("_side"))
+    # right rows of equal position come first both ways, the smallest value last of them
+    back, on = (W.partitionBy(*keys).orderBy(t, "_side", F.desc("_r.v")).rowsBetween(W.unboundedPreceding, 0) for t in ("_t", F.desc("_t")))
+    seen = F.last("_r", ignorenulls=True)
+    both = a.unionByName(b).withColumns({"_b": seen.over(back), "_f": seen.over(on)})
     earlier = F.col("_f").isNull() | (F.col("_t") - F.col("_b.at") <= F.col("_f.at") - F.col("_t"))
     picked = F.when(F.col("_b").isNotNull() & earlier, F.col("_b.v")).otherwise(F.col("_f.v")).cast(kind)
     return both.where("_l is not null").select("_l.*", picked.alias(value))

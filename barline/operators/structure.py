@@ -101,7 +101,8 @@ def fractal_neighbours(rows: DataFrame) -> DataFrame:
     at = F.when(F.col("fractal_type") != 0, F.col("id"))
     out = label_fractals(rows)
     before = F.last(at, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(at, ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    # from the other end, as a frame that reaches to the end would be read anew for each row
+    after = F.last(at, ignorenulls=True).over(W.partitionBy(*KEYS).orderBy(F.desc("id")).rowsBetween(W.unboundedPreceding, -1))
     return out.withColumn("prev_fractal_id", before).withColumn("next_fractal_id", after)
 
 

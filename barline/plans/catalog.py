@@ -188,10 +188,12 @@ def inclusive_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return structure.inclusive_pairs(I.clock(spark, sf)).select("symbol", "id")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS BIGINT) AS id WHERE false")
+@query(I.with_cbars(", p AS (SELECT *, lag(high_price) OVER w AS h, lag(low_price) OVER w AS l FROM cbar WINDOW w AS (PARTITION BY symbol ORDER BY id))\nSELECT symbol, count(*) AS n, count(*) FILTER (WHERE (h >= high_price AND l <= low_price) OR (h <= high_price AND l >= low_price)) AS n_inclusive FROM p GROUP BY symbol"))
 def cbar_inclusive_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Merged bars have no such pairs."""
-    return structure.inclusive_pairs(_cbars(spark, sf)).select("symbol", "id")
+    """How many merged bars each symbol has, and how many of them contain their neighbour or are contained."""
+    rows = _cbars(spark, sf)
+    found = structure.inclusive_pairs(rows).groupBy("symbol").agg(F.count("*").alias("n_inclusive"))
+    return rows.groupBy("symbol").agg(F.count("*").alias("n")).join(found, "symbol", "left").select("symbol", "n", F.coalesce("n_inclusive", F.lit(0)).alias("n_inclusive"))
 
 
 @query(I.with_cbars("SELECT c.symbol, b.id AS sbar_id, c.id AS cbar_id, c.high_price AS cbar_high, c.low_price AS cbar_low FROM cbar c JOIN h1 b ON b.symbol = c.symbol AND b.id BETWEEN c.sbar_start_id AND c.sbar_end_id"))
@@ -250,11 +252,12 @@ def confirmed_swings(spark: SparkSession, sf: str) -> DataFrame:
     return structure.swings(I.walk(spark, sf)).where("state = 2").groupBy("symbol").agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
 
 
-@query(f"{_H1}, {I.BLOCKS}, now AS (SELECT *, CASE WHEN id = 7 THEN high_price + 1 ELSE high_price END AS h2 FROM blocks)\nSELECT symbol, min(id) FILTER (WHERE h2 <> high_price OR id > 30) AS backtrack_id FROM now GROUP BY symbol")
+@query(f"{_H1}, {I.BLOCKS}, now AS (SELECT *, CASE WHEN id = 7 THEN high_price + 1 ELSE high_price END AS h2 FROM blocks)\nSELECT symbol, min(id) FILTER (WHERE h2 <> high_price OR id > newest - 5) AS backtrack_id FROM (SELECT *, max(id) OVER (PARTITION BY symbol) AS newest FROM now) GROUP BY symbol")
 def backtrack_diff(spark: SparkSession, sf: str) -> DataFrame:
     """The first segment that differs between two states: one price changed, later segments new."""
     now = I.blocks(spark, sf).withColumn("high_price", F.when(F.col("id") == 7, F.col("high_price") + 1).otherwise(F.col("high_price")))
-    before = I.blocks(spark, sf).where("id <= 30")
+    newest = F.max("id").over(W.partitionBy("symbol"))
+    before = I.blocks(spark, sf).withColumn("newest", newest).where("id <= newest - 5").drop("newest")
     return structure.first_changed(before, now, ["direction", "high_price", "low_price", "sbar_end_id"]).select("symbol", "backtrack_id")
 
 
@@ -317,7 +320,7 @@ scored AS (
          CASE WHEN abs(score) >= {p['stable_threshold']} THEN 'stable' WHEN abs(score) >= {p['weakening_threshold']} THEN 'weakening' WHEN abs(score) >= {p['critical_threshold']} THEN 'critical' ELSE 'failed' END AS stage FROM w6)"""
 
 
-_FACTORS = ["score", *supply.FACTORS, *supply.ATOMS, "dominance", "efficiency", "sustainability"]
+_FACTORS = ["score", *supply.FACTORS, *supply.ATOMS, "dominance", "efficiency", "sustainability", "volatility_adjustment"]
 _ROUNDED = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _FACTORS)
 
 
@@ -474,16 +477,15 @@ def asof_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT event_type AS symbol, event_id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_id % 7 = 0), b AS (SELECT event_type AS symbol, event_id AS e, (epoch_us(ts) // 1000) AS t FROM events WHERE event_id % 11 = 3)
-SELECT symbol, event_id, nearest_id FROM (
-  SELECT a.symbol, a.event_id, b.e AS nearest_id, row_number() OVER (PARTITION BY a.event_id ORDER BY abs(a.t - b.t), b.t) AS rn FROM a JOIN b ON a.symbol = b.symbol) WHERE rn = 1"""
+    f"""{_H1}, a AS (SELECT event_type AS symbol, event_id, epoch_ms(ts) AS t FROM events), b AS (SELECT symbol, id, epoch_ms(datetime) AS u FROM h1)
+SELECT a.symbol, a.event_id, CASE WHEN p.id IS NOT NULL AND (n.id IS NULL OR a.t - p.u <= n.u - a.t) THEN p.id ELSE n.id END AS nearest_id
+FROM a ASOF LEFT JOIN b p ON a.symbol = p.symbol AND a.t >= p.u ASOF LEFT JOIN b n ON a.symbol = n.symbol AND a.t <= n.u"""
 )
 def nearest_time(spark: SparkSession, sf: str) -> DataFrame:
-    """Marks with the nearest of other marks in time, the earlier of two equally near."""
-    e = I.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "event_id", F.unix_millis("ts").alias("t"))
-    marks = e.where("event_id % 7 = 0")
-    others = e.where("event_id % 11 = 3").select("symbol", F.col("t").alias("u"), F.col("event_id").alias("nearest_id"))
-    return decision.nearest(marks, others, ["symbol"], "t", "u", "nearest_id").select("symbol", "event_id", "nearest_id").where("nearest_id is not null")
+    """Every event with the hourly bar whose start is nearest in time, the earlier of two equally near."""
+    events = I.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), "event_id", F.unix_millis("ts").alias("t"))
+    bars = I.clock(spark, sf).select("symbol", F.unix_millis("datetime").alias("u"), F.col("id").alias("nearest_id"))
+    return decision.nearest(events, bars, ["symbol"], "t", "u", "nearest_id").select("symbol", "event_id", "nearest_id")
 
 
 _CONTEXT = """ctx AS (

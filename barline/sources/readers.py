@@ -75,10 +75,14 @@ def pipe_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_trades(messages: DataFrame, column: str = "value", first_symbol: str | None = None) -> DataFrame:
-    """Minute-bar rows of trade messages, bare or wrapped in `data`; messages without price or time are dropped."""
+    """Minute-bar rows of trade messages, bare or wrapped in `data`; messages without price or time are dropped.
+
+    A message with `data` is that object alone: what stands beside it doesn't count.
+    """
+    payload = F.coalesce(F.get_json_object(column, "$.data"), F.col(column))
 
     def get(key: str):
-        return F.coalesce(F.get_json_object(column, f"$.data.{key}"), F.get_json_object(column, f"$.{key}"))
+        return F.get_json_object(payload, f"$.{key}")
 
     price, size = get("p").try_cast("double"), F.coalesce(get("q").try_cast("double"), F.lit(0.0))
     at = F.timestamp_millis(F.coalesce(get("T").try_cast("long"), get("E").try_cast("long")))

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -118,10 +119,10 @@ def cbar_changes(bars: DataFrame) -> DataFrame:
 def replay_changes(changes: DataFrame, batch: str) -> DataFrame:
     """The merged bars that a log of changes, with a batch number, leads to: of each row the last batch that didn't cut it."""
     keys = ["symbol", "exchange", "timeframe"]
-    cuts = changes.select(*keys, batch, "backtrack_id").distinct()
-    later = cuts.select(*keys, F.col(batch).alias("_later"), F.col("backtrack_id").alias("_from"))
-    gone = changes.join(later, keys).where(f"_later > {batch} and id >= _from").select(*keys, batch, "id").distinct()
-    return changes.join(gone, [*keys, batch, "id"], "left_anti").drop(batch, "backtrack_id")
+    cuts = changes.groupBy(*keys, batch).agg(F.min("backtrack_id").alias("_from"))
+    later = W.partitionBy(*keys).orderBy(F.desc(batch)).rowsBetween(W.unboundedPreceding, -1)
+    cuts = cuts.select(*keys, batch, F.min("_from").over(later).alias("_from"))
+    return changes.join(cuts, [*keys, batch]).where("_from is null or id < _from").drop(batch, "backtrack_id", "_from")
 
 
 def to_sinks(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, available_now: bool = True):

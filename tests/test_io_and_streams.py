@@ -170,3 +170,8 @@ def test_trade_stream_source(spark):
         assert spark.table("trades_out").first()["symbol"] == "BTCUSDT"
     finally:
         query.stop()
+
+
+def test_a_wrapped_message_is_its_data_alone(spark):
+    rows = spark.createDataFrame([('{"data":{"T":1,"s":"X"},"p":"5"}',), ('{"data":{"T":1,"s":"X","p":"4"},"p":"5"}',), ('{"T":1,"s":"X","p":"5"}',)], "value string")
+    assert sorted(r["close_price"] for r in readers.parse_trades(rows).collect()) == [4.0, 5.0]

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -236,3 +237,18 @@ def test_registry(spark):
     both.register("range", lambda b: structure.atr(b, 3))
     out = both.apply(frame(spark, gen.cycle("cbar")))
     assert out.columns[-2:] == ["fast", "range"] and out.count() == 120 and out.where("fast is null").count() == 0
+
+
+def test_frames_to_the_end_of_a_series_stay_linear(spark):
+    """Four times the rows of one series take less than six times as long."""
+
+    def seconds(n):
+        rows = spark.range(1, n + 1).selectExpr("'a' as symbol", "'x' as exchange", "'h1' as timeframe", "id", "id * 1.0 as high_price", "id - 1.0 as low_price", "id as v")
+        marks = rows.selectExpr("symbol", "id as t")
+        began = time.perf_counter()
+        for df in (structure.fractal_neighbours(rows), decision.nearest(marks, rows.selectExpr("symbol", "id * 3 as u", "v").where("v % 1000 = 0"), ["symbol"], "t", "u", "v")):
+            df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(120_000) < 6 * max(seconds(30_000), 0.5)

@@ -11,6 +11,7 @@ the positions that all other occurrences cover are merged and removed.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from barline.llm.common import fresh, held, raw, slices
 WINDOW, LONG = 3, 12
 SALTS, CACHE, VERSION_BITS, SAMPLE, FREQUENT = 64, 200_000, 25, 5_000, 10
 _END = re.compile(rb"[.!?\n](?:(?<=\n)\s*|[.!?]*\s+)")
-_WORD = re.compile(rb"\s*\S+\s*")
+_WORD = re.compile(rb"\S+")
 
 
 class Hashes(dict):
@@ -34,40 +35,53 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
-        out = self[word] = xxhash.xxh32_intdigest(word.strip().lower())
+        out = self[word] = xxhash.xxh32_intdigest(word.lower())
         return out
 
 
 _HASHES = Hashes()
 
 
-def cuts(hashes: np.ndarray) -> np.ndarray:
+def cuts(hashes: list[int]) -> list[int]:
     """Places of the last smallest hash of every LONG consecutive ones, in order."""
-    least = hashes.astype(np.uint64) << np.uint64(32) | np.uint64(0xFFFFFFFF) - np.arange(len(hashes), dtype=np.uint64)
-    size = 1
-    while size < LONG:  # the smallest of twice as many, then of LONG
-        more = min(size, LONG - size)
-        least = np.minimum(least[:-more], least[more:])
-        size += more
-    out = (np.uint64(0xFFFFFFFF) - (least & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return out[np.flatnonzero(np.diff(out, prepend=-1))]
+    out, least = [], -1
+    for i in range(len(hashes) - LONG + 1):
+        last = i + LONG - 1
+        if least < i:
+            low = min(hashes[i : last + 1])
+            least = last
+            while hashes[least] != low:
+                least -= 1
+        elif hashes[last] <= hashes[least]:
+            least = last
+        else:
+            continue
+        out.append(least)
+    return out
 
 
 def lines_of(text: bytes) -> list[bytes]:
     """The lines of a text with what separates them; joined they are the text."""
-    out, start = [], 0
+    out, start, known = [], 0, _HASHES.__getitem__
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         line = text[start:end]
         start = end
         # as many words need at least twice as many bytes
-        if len(line) > 2 * LONG and len(line.split()) > LONG:
-            words = _WORD.findall(line)
+        if len(line) > 2 * LONG and len(words := line.split()) > LONG:
+            bare = line.lstrip()
+            sums = list(accumulate(map(len, words)))
+            if len(bare.rstrip()) == sums[-1] + len(words) - 1:  # one byte between words
+                lead = len(line) - len(bare) + 1
+                stops = [lead + sums[at] + at if at + 1 < len(words) else len(line) for at in cuts(list(map(known, words)))]
+            else:
+                places = [m.start() for m in _WORD.finditer(line)] + [len(line)]
+                stops = [places[at + 1] for at in cuts(list(map(known, words)))]
             done = 0
-            for at in cuts(np.array([_HASHES[w] for w in words], dtype=np.uint32)).tolist():
-                out.append(b"".join(words[done : at + 1]))
-                done = at + 1
-            if done < len(words):
-                out.append(b"".join(words[done:]))
+            for stop in stops:
+                out.append(line[done:stop])
+                done = stop
+            if done < len(line):
+                out.append(line[done:])
         elif line:
             out.append(line)
     return out
@@ -83,7 +97,7 @@ def windows_of(texts: list[bytes], window: int = WINDOW, min_words: int = 1) ->
     for k, text in enumerate(texts):
         lines = [x.strip() for x in lines_of(text.lower())]
         hashes += [digest(x) for x in lines]
-        words += [x.count(b" ") + 1 for x in lines]
+        words += [x.count(b" ") + 1 for x in lines] if min_words > 1 else [1] * len(lines)
         of += [k] * len(lines)
     h, n, of = np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(of, dtype=np.int64)
     size = max(0, len(h) - window + 1)

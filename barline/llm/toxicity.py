@@ -103,22 +103,20 @@ def evidence(counts: DataFrame, discount: float = DISCOUNT, pair_discount: float
     def kept(c: str, d: float):
         return F.greatest(F.col(c) - d, F.lit(0.0))
 
-    # words (kind 0), contexts (1) and the pairs that toxic texts hold (2) in one pass over the counts, which stay where they are
-    zero, lost = F.lit(0.0), F.least("n0", F.lit(pair_discount)) + F.least("n1", F.lit(pair_discount))
-
-    def row(kind: int, first: str, second, *x):
-        named = [v.cast("double").alias(f"x{i}") for i, v in enumerate(x)]
-        return F.struct(F.lit(kind).alias("kind"), F.col(first).alias("a"), second.cast("long").alias("b"), *named)
-
-    nothing, total = F.lit(0), F.col("n0") + F.col("n1")
-    alone = F.array(row(0, "w", nothing, F.col("n0"), F.col("n1"), zero, zero))
-    pair = [row(0, "w", nothing, zero, zero, F.lit(1.0), zero), row(1, "h", nothing, kept("n0", pair_discount), kept("n1", pair_discount), lost, total)]
-    toxic = F.array(*pair, row(2, "h", F.col("w"), F.col("n0"), F.col("n1"), zero, zero))
-    kinds = F.when(F.col("h") == ALONE, alone).when(F.col("n1") > pair_discount, toxic).otherwise(F.array(*pair))
-    flat = cut(counts.select(F.explode(kinds).alias("x")).select("x.*").groupBy("kind", "a", "b").agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(4)]))
-    words = flat.where("kind = 0").select(F.col("a").alias("w"), F.col("x0").alias("n0"), F.col("x1").alias("n1"), F.col("x2").alias("t"))
-    around = flat.where("kind = 1").select(F.col("a").alias("h"), F.col("x0").alias("s0"), F.col("x1").alias("s1"), (F.col("x2") / F.col("x3")).alias("back"))
-    pairs = flat.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("w"), F.col("x0").alias("n0"), F.col("x1").alias("n1"))
+    # words and contexts (by a alone) and the pairs that toxic texts hold (a, b) in one pass over the counts, which stay where they are
+    names = ("n0", "n1", "t", "s0", "s1", "total")
+
+    def row(first: str, second, **x):
+        return F.struct(F.col(first).alias("a"), second.cast("long").alias("b"), *[x.get(c, F.lit(0)).cast("double").alias(c) for c in names])
+
+    nothing, n0, n1 = F.lit(0), F.col("n0"), F.col("n1")
+    pair = [row("w", nothing, t=F.lit(1)), row("h", nothing, s0=kept("n0", pair_discount), s1=kept("n1", pair_discount), total=n0 + n1)]
+    held_too = F.array(*pair, row("h", F.col("w"), n0=n0, n1=n1))
+    rows = F.when(F.col("h") == ALONE, F.array(row("w", nothing, n0=n0, n1=n1))).when(n1 > pair_discount, held_too).otherwise(F.array(*pair))
+    flat = cut(counts.select(F.explode(rows).alias("x")).select("x.*").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in names]))
+    words = flat.where("b = 0 and n0 + n1 > 0").select(F.col("a").alias("w"), "n0", "n1", "t")
+    around = flat.where("b = 0 and total > 0").select(F.col("a").alias("h"), "s0", "s1", (1 - (F.col("s0") + F.col("s1")) / F.col("total")).alias("back"))
+    pairs = flat.where("b <> 0").select(F.col("a").alias("h"), F.col("b").alias("w"), "n0", "n1")
     whole = words.agg(F.sum(kept("n0", discount)), F.sum(kept("n1", discount)), F.sum("n0"), F.sum("n1"), F.sum("t")).first()
     s0, s1, all0, all1, t = (float(x or 0) for x in whole)
     back0, back1 = (1 - s / n if n else 1.0 for s, n in ((s0, all0), (s1, all1)))
@@ -131,11 +129,11 @@ def evidence(counts: DataFrame, discount: float = DISCOUNT, pair_discount: float
 
     q = F.col("t") / t
     own = words.where("n1 > 0").withColumn("p0", kept("n0", discount) / max(all0, 1.0) + back0 * q).withColumn("p1", kept("n1", discount) / all1 + back1 * q)
-    own = cut(own.select("w", "p0", "p1", total.cast("long").alias("n")))
+    own = cut(own.select("w", "p0", "p1", (F.col("n0") + F.col("n1")).cast("long").alias("n")))
     placed = pairs.join(around.where("s1 > 0"), "h").join(own.select("w", "p0", "p1"), "w")
     a0, a1 = F.when(F.col("s0") > 0, kept("n0", pair_discount) / F.col("s0")).otherwise(F.col("p0")), kept("n1", pair_discount) / F.col("s1")
     q0, q1 = (1 - F.col("back")) * a0 + F.col("back") * F.col("p0"), (1 - F.col("back")) * a1 + F.col("back") * F.col("p1")
-    placed = placed.select("h", "w", value(q1, q0).alias("r"), total.cast("long").alias("n")).mapInArrow(_key_batches, "key long, r double, n long")
+    placed = placed.select("h", "w", value(q1, q0).alias("r"), (F.col("n0") + F.col("n1")).cast("long").alias("n")).mapInArrow(_key_batches, "key long, r double, n long")
     return cut(own.select(F.col("w").alias("key"), value(F.col("p1"), F.col("p0")).alias("r"), "n").unionByName(placed)), base
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -96,12 +98,23 @@ def slices(batches, rows: int = ROWS_AT_ONCE):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on after its task and would keep the peak of all its tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
 
 
 def held(owner: str, key: str, make):
     """What a worker keeps from one task to the next under a key; it keeps the things of one owner at a time."""
     if _HELD.get("owner") != owner:
         _HELD.clear()
+        gc.collect()
+        trim()
         _HELD["owner"] = owner
     if key not in _HELD:
         _HELD[key] = make()

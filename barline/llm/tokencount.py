@@ -4,7 +4,7 @@ The distinct pre-tokens of a batch, sorted, are a trie in depth-first order: a s
 score and number of tokens) of the current path, and only the nodes that a pre-token doesn't share with the one
 before it are computed. The counts at the terminal nodes are kept and summed by document. One pass, no shuffle.
 
-The pieces are those of a public tokenizer, which isn't trained here; their unigram probabilities are, on a bounded sample.
+The pieces are those of a public tokenizer, which isn't trained here; their unigram probabilities are, on the words of all texts.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from __future__ import annotations
 import math
 import os
 from collections import Counter
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.common import held, slices
 
-CACHE, SAMPLE_ROWS, SPACE = 600_000, 5_000, "▁"
+CACHE, WORDS_AT_ONCE, SPACE = 600_000, 10_000, "▁"
 
 
 class Pieces:
@@ -42,27 +44,40 @@ class Pieces:
 
 
 def _piece_batches(pieces: Pieces):
+    """How often each piece is used in all texts of a task; a word is encoded once for all its occurrences that are held."""
+
     def run(batches):
         sp = pieces.processor()
+        words, n = Counter(), np.zeros(sp.get_piece_size(), np.int64)
+
+        def spend():
+            rest = iter(words.items())
+            while some := list(islice(rest, WORDS_AT_ONCE)):
+                for ids, (_, times) in zip(sp.encode([w for w, _ in some], out_type=int, num_threads=1), some):
+                    for i in ids:
+                        n[i] += times
+            words.clear()
+
         for batch in slices(batches):
-            n = Counter()
             for text in batch.column(0).to_pylist():
-                n.update(sp.encode(text, out_type=str))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["piece", "n"])
+                words.update(text.split())
+                if len(words) > CACHE:
+                    spend()
+        spend()
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([sp.id_to_piece(int(i)) for i in used], pa.string()), pa.array(n[used])], names=["piece", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, text_col: str = "text", path: str | None = None, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
-    """Log-probabilities of a public tokenizer's pieces: how often it uses each in about sample_rows rows of docs, plus 1/2.
+def fit(docs: DataFrame, text_col: str = "text", path: str | None = None) -> dict[str, float]:
+    """Log-probabilities of a public tokenizer's pieces: how often it uses each in the words of all rows of docs, plus 1/2.
 
-    A hash of the text picks the rows, so repeated texts are in the sample together or not at all.
+    The words are those at white space that count_tokens counts, each with the space before it.
     """
     pieces = Pieces(path)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    share = min(1.0, sample_rows / max(1, texts.count()))
-    drawn = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < int((1 << 20) * share))
-    counts = dict(drawn.mapInArrow(_piece_batches(pieces), "piece string, n long").groupBy("piece").agg(F.sum("n")).toLocalIterator())
+    counts = dict(texts.mapInArrow(_piece_batches(pieces), "piece string, n long").groupBy("piece").agg(F.sum("n")).toLocalIterator())
     names = pieces.names()
     whole = math.log(sum(counts.get(p, 0) + 0.5 for p in names))
     return {p: math.log(counts.get(p, 0) + 0.5) - whole for p in names}

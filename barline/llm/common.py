@@ -26,9 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that neither a lost executor nor reuse recomputes it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared folder, so that neither a lost executor nor reuse recomputes it.
+
+    A checkpoint inherits its plan's estimate of size, and a join's is the product of both sides': over rounds of joins
+    the digits of that number grow exponentially and fill the driver's memory. So the estimate is left behind.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done, jvm = df.checkpoint(eager=True), spark._jvm
+    plan, none = done._jdf.queryExecution().analyzed(), jvm.scala.Option.empty()
+    plain = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plain), spark)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -24,36 +24,22 @@ from pyspark.sql import functions as F
 from barline.llm.common import fresh, held, raw, slices
 
 WINDOW, LONG = 3, 12
-SALTS, CACHE, VERSION_BITS, SAMPLE, FREQUENT = 64, 200_000, 25, 5_000, 10
+SALTS, VERSION_BITS, SAMPLE, FREQUENT = 64, 25, 5_000, 10
 _END = re.compile(rb"[.!?\n](?:(?<=\n)\s*|[.!?]*\s+)")
 _WORD = re.compile(rb"\S+")
 
 
-class Hashes(dict):
-    """32-bit hashes of words, case and what separates them aside."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        out = self[word] = xxhash.xxh32_intdigest(word.lower())
-        return out
-
-
-_HASHES = Hashes()
-
-
 def cuts(hashes: list[int]) -> list[int]:
     """Places of the last smallest hash of every LONG consecutive ones, in order."""
-    out, least = [], -1
-    for i in range(len(hashes) - LONG + 1):
-        last = i + LONG - 1
-        if least < i:
-            low = min(hashes[i : last + 1])
+    out, least, low = [], -1, -1
+    for last, own in enumerate(hashes[LONG - 1 :], LONG - 1):
+        if own <= low:
+            least, low = last, own
+        elif least <= last - LONG:
+            low = min(hashes[last - LONG + 1 : last + 1])
             least = last
             while hashes[least] != low:
                 least -= 1
-        elif hashes[last] <= hashes[least]:
-            least = last
         else:
             continue
         out.append(least)
@@ -62,20 +48,24 @@ def cuts(hashes: list[int]) -> list[int]:
 
 def lines_of(text: bytes) -> list[bytes]:
     """The lines of a text with what separates them; joined they are the text."""
-    out, start, known = [], 0, _HASHES.__getitem__
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+    out, start = [], 0
+    ends = [m.end() for m in _END.finditer(text)]
+    ends.append(len(text))
+    for end in ends:
         line = text[start:end]
         start = end
         # as many words need at least twice as many bytes
-        if len(line) > 2 * LONG and len(words := line.split()) > LONG:
+        if len(line) > 2 * LONG and len(words := line.lower().split()) > LONG:
+            # 32-bit hashes of words, case and what separates them aside
+            at_cuts = cuts(list(map(xxhash.xxh32_intdigest, words)))
             bare = line.lstrip()
             sums = list(accumulate(map(len, words)))
             if len(bare.rstrip()) == sums[-1] + len(words) - 1:  # one byte between words
                 lead = len(line) - len(bare) + 1
-                stops = [lead + sums[at] + at if at + 1 < len(words) else len(line) for at in cuts(list(map(known, words)))]
+                stops = [lead + sums[at] + at if at + 1 < len(words) else len(line) for at in at_cuts]
             else:
                 places = [m.start() for m in _WORD.finditer(line)] + [len(line)]
-                stops = [places[at + 1] for at in cuts(list(map(known, words)))]
+                stops = [places[at + 1] for at in at_cuts]
             done = 0
             for stop in stops:
                 out.append(line[done:stop])
@@ -92,14 +82,15 @@ def windows_of(texts: list[bytes], window: int = WINDOW, min_words: int = 1) ->
 
     The last is -1 for the first such window of a text. Case and the white space between lines don't count.
     """
-    hashes, words, of = [], [], []
-    digest = xxhash.xxh64_intdigest
-    for k, text in enumerate(texts):
-        lines = [x.strip() for x in lines_of(text.lower())]
-        hashes += [digest(x) for x in lines]
-        words += [x.count(b" ") + 1 for x in lines] if min_words > 1 else [1] * len(lines)
-        of += [k] * len(lines)
-    h, n, of = np.array(hashes, dtype=np.uint64), np.array(words, dtype=np.int64), np.array(of, dtype=np.int64)
+    hashes, words, counts = [], [], []
+    for text in texts:
+        lines = list(map(bytes.strip, lines_of(text.lower())))
+        hashes += map(xxhash.xxh64_intdigest, lines)
+        if min_words > 1:
+            words += [x.count(b" ") + 1 for x in lines]
+        counts.append(len(lines))
+    h, of = np.array(hashes, dtype=np.uint64), np.repeat(np.arange(len(texts)), counts)
+    n = np.array(words, dtype=np.int64) if min_words > 1 else np.ones(len(h), dtype=np.int64)
     size = max(0, len(h) - window + 1)
     key, total = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64)
     for i in range(window):
@@ -161,14 +152,17 @@ def _window_batches(window: int, min_words: int, often):
     return run
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+def merged(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end of the spans of each row's list without overlaps, in order; spans that touch are one."""
+    row = np.repeat(np.arange(len(spans)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    s, e = (flat.field(k).to_numpy().astype(np.int64) + (row << 32) for k in ("s", "e"))
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order])
+    new = np.flatnonzero(np.concatenate(([True], s[1:] > e[:-1]))) if len(s) else np.empty(0, np.int64)
+    last = np.concatenate((new[1:], [len(s)])) - 1 if len(s) else new
+    low = (1 << 32) - 1
+    return s[new] >> 32, s[new] & low, e[last] & low
 
 
 def _remove_batches(at: int, counted: bool):
@@ -176,26 +170,26 @@ def _remove_batches(at: int, counted: bool):
 
     def run(batches):
         for batch in slices(batches):
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            text, n_removed = batch.column(at), [0] * len(spans)
-            cut = [k for k, own in enumerate(spans) if own]
-            if cut:
-                rows = pa.array(cut)
+            row, starts, ends = merged(batch.column(batch.num_columns - 1))
+            text, n_removed = batch.column(at), np.zeros(batch.num_rows, np.int64)
+            if len(row):
+                np.add.at(n_removed, row, ends - starts)
+                cut, first = np.unique(row, return_index=True)
+                bounds, starts, ends = [*first.tolist(), len(row)], starts.tolist(), ends.tolist()
                 kept = []
-                for k, whole in zip(cut, text.take(rows).cast(pa.binary()).to_pylist()):
+                for k, whole in enumerate(text.take(pa.array(cut)).cast(pa.binary()).to_pylist()):
                     lines, done, out = lines_of(whole), 0, []
-                    for s, e in merged([(x["s"], x["e"]) for x in spans[k]]):
-                        out += lines[done:s]
-                        done = e
-                        n_removed[k] += e - s
+                    for i in range(bounds[k], bounds[k + 1]):
+                        out += lines[done : starts[i]]
+                        done = ends[i]
                     kept.append(b"".join([*out, *lines[done:]]).rstrip())
-                here = np.zeros(len(spans), dtype=bool)
+                here = np.zeros(batch.num_rows, dtype=bool)
                 here[cut] = True
                 text = pc.replace_with_mask(text, pa.array(here), pa.array(kept, pa.binary()).cast(text.type))
             cols = [text if i == at else c for i, c in enumerate(batch.columns[:-1])]
             names = batch.schema.names[:-1]
             if counted:
-                cols, names = [*cols, pa.array(n_removed, pa.int64())], [*names, "n_removed"]
+                cols, names = [*cols, pa.array(n_removed)], [*names, "n_removed"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run

@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
-from barline.llm import tokencount
+import pyarrow as pa
+
+from barline.llm import linededup, tokencount
 
 
 def test_token_model_is_fitted_on_all_rows(spark, monkeypatch):
@@ -24,3 +26,11 @@ def test_token_model_is_fitted_on_all_rows(spark, monkeypatch):
     monkeypatch.setattr(tokencount, "CACHE", 2)
     (batch,) = tokencount._piece_batches(pieces)(docs.where("text is not null").select("text").toArrow().combine_chunks().to_batches())
     assert {p: n for p, n in zip(*[c.to_pylist() for c in batch.columns])} == dict(counts)
+
+
+def test_spans_of_lines_are_merged_by_row():
+    rows = [[(4, 7), (0, 3), (3, 4), (9, 12), (10, 11)], None, [], [(5, 6)], [(2, 3), (0, 1)]]
+    spans = pa.array([r and [{"s": a, "e": b} for a, b in r] for r in rows], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+    for start in range(6):
+        found = [tuple(map(int, x)) for x in zip(*linededup.merged(spans.slice(start)))]
+        assert found == [(k - start, a, b) for k, a, b in [(0, 0, 7), (0, 9, 12), (3, 5, 6), (4, 0, 1), (4, 2, 3)] if k >= start]

@@ -1,13 +1,15 @@
 """Near-duplicates by the Jaccard similarity of word shingles, exactly.
 
 Texts are sets of XXH64 values of five-word shingles; two are near-duplicates if they share at least `PERCENT` percent
-of their union. Prefix filtering finds every such pair: with all shingles in one order, the first
+of their union. SimHash comes first: the majority fingerprints of the sets meet in the buckets of `simhash`, where the
+pivot table and the popcount leave a forest of the links of at most four bits. Fingerprints miss most pairs of 0.8 to
+0.95, so prefix filtering finds every pair that is left: with all shingles in one order, the first
 n - ceil(0.8 n) + 1 of two similar sets have one in common. The order puts shingles that are frequent in a sample last,
-which keeps the buckets small; any order gives the same result. Candidates are compared by their sizes and places
-and then verified on the whole sets.
+which keeps the buckets small; any order gives the same result. Candidates are compared by their sizes and places.
+Pairs of either kind are verified on the whole sets.
 
-Neighbours in a bucket are verified first and their links contracted; then every candidate pair that no link
-connects yet is verified, so large classes of copies don't list all their pairs.
+The pairs of fingerprints and the neighbours in a bucket are verified first and their links contracted; then every
+candidate pair that no link connects yet is verified, so large classes of copies don't list all their pairs.
 
 Only ids, hashes and prefixes are materialised. The texts of candidate pairs are read from the input again, by the
 hash of a text; a bitmap of fixed size keeps most others from being shuffled. Where it fills up it only saves less.
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import cut, dealt_join, fresh, held, one_of_each, raw, slices, trim
 from barline.llm.components import components
-from barline.llm.simhash import _shingle_hashes
+from barline.llm.simhash import RADIUS, _shingle_hashes, links, majority
 
 SHINGLE, PERCENT = 5, 80
-SAMPLE, FREQUENT, MAX_FREQUENT, PAIRS_AT_ONCE, PLACES = 10_000, 3, 1 << 18, 50_000, (1 << 24) - 3
+SAMPLE, FREQUENT, MAX_FREQUENT, PAIRS_AT_ONCE, HASHES_AT_ONCE, PLACES = 10_000, 3, 1 << 18, 50_000, 200_000, (1 << 24) - 3
 
 
 def _distinct(text: bytes | None, shingle: int) -> np.ndarray:
@@ -52,12 +54,17 @@ def frequent(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The majority fingerprint of each set of hashes."""
+    return majority(np.concatenate([*sets, np.empty(0, np.uint64)]), np.array([len(x) for x in sets], np.int64))
+
+
 def _prefix_batches(shared, shingle: int, percent: int):
     def run(batches):
         held("similar", "", dict)
         often = shared.value
         for batch in slices(batches):
-            digests, sizes, prefixes = [], [], []
+            digests, sizes, prefixes, prints, kept, held_back = [], [], [], [], [], 0
             for text in raw(batch, 2):
                 own = _distinct(text, shingle)
                 n = len(own)
@@ -68,11 +75,17 @@ def _prefix_batches(shared, shingle: int, percent: int):
                     ordered = own
                 digests.append(xxhash.xxh64_intdigest(own.tobytes()))
                 sizes.append(n)
+                kept.append(own)
+                held_back += n
+                if held_back > HASHES_AT_ONCE:
+                    prints.append(fingerprints(kept))
+                    kept, held_back = [], 0
                 prefixes.append(ordered[: n + (-n * percent // 100) + 1 if n else 0].view(np.int64))
+            prints.append(fingerprints(kept))
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "code", "digest", "n", "prefix"])
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.concatenate(prints).view(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "code", "digest", "n", "fp", "prefix"])
 
     return run
 
@@ -152,6 +165,19 @@ def _verify_batches(shingle: int, percent: int):
     return run
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of nodes(node, fp) that connect all whose fingerprints are equal or, over any steps, radius bits apart.
+
+    Of equal fingerprints the smallest node is paired with each other one, and stands for all in the forests of links.
+    """
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("a"), F.count("*").alias("count")))
+    equal = dealt_join(nodes, first, ["fp"], "node").where("a <> node").select("a", F.col("node").alias("b"))
+    apart = links(first.select("fp"), radius).where("a <> b").distinct().withColumnsRenamed({"a": "fp_a", "b": "fp_b"})
+    ends = [first.select(F.col("fp").alias(f"fp_{c}"), F.col("a").alias(c)) for c in "ab"]
+    near = apart.join(ends[0], "fp_a").join(ends[1], "fp_b")
+    return equal.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def bitmap(nodes: DataFrame) -> np.ndarray:
     """A bit for each of PLACES remainders, set where a node has it: at most 2 MB, whatever the number of nodes."""
     bits, place = np.zeros((PLACES >> 5) + 1, np.uint32), f"pmod(node, {PLACES}L)"
@@ -180,16 +206,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text"))
     kind, sc = rows.schema["id"].dataType.simpleString(), docs.sparkSession.sparkContext
     often = sc.broadcast(frequent(rows, shingle))
-    own = cut(rows.mapInArrow(_prefix_batches(often, shingle, percent), f"id {kind}, code long, digest long, n int, prefix array<long>"))
+    own = cut(rows.mapInArrow(_prefix_batches(often, shingle, percent), f"id {kind}, code long, digest long, n int, fp long, prefix array<long>"))
     # equal sets are one node, told by the hash of one of their texts
     sets = own.groupBy("digest").agg(F.min("code").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     keyed = sets.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", "at")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
     shared = cut(keyed.mapInArrow(_shared_batches, "key long, node long, n int, at int"))
 
+    nodes = cut(own.groupBy("digest").agg(F.min("code").alias("node"), F.first("fp").alias("fp")).select("node", "fp"))
+
     def similar(of: DataFrame, near: bool) -> DataFrame:
         spread = of.repartition("key").sortWithinPartitions("key")
-        pairs = cut(spread.mapInArrow(_pair_batches(percent, near), "a long, b long").distinct())
+        pairs = spread.mapInArrow(_pair_batches(percent, near), "a long, b long")
+        pairs = cut((pairs.unionByName(fingerprint_pairs(nodes)) if near else pairs).distinct())
         ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         texts = rows.select("code", "text").mapInArrow(_marked_batches(sc.broadcast(bitmap(ends))), "node long, text string")
         texts = texts.dropDuplicates(["node"]).join(ends, "node", "left_semi")
@@ -197,11 +226,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
         return cut(both.mapInArrow(_verify_batches(shingle, percent), "a long, b long"))
 
-    links = similar(shared.withColumn("root", F.col("node")), True)
-    further = shared.join(components(links), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
-    links = links.unionByName(similar(further, False))
+    found = similar(shared.withColumn("root", F.col("node")), True)
+    further = shared.join(components(found), "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+    found = found.unionByName(similar(further, False))
     classes = own.groupBy("digest").agg(F.min("id").alias("least"), F.min("code").alias("node"), F.count("*").alias("rows"))
-    placed = classes.join(components(links), "node", "left")
+    placed = classes.join(components(found), "node", "left")
     placed = cut(placed.select("digest", "least", "rows", F.coalesce("root", "node").alias("root")))
     named = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("count")))
     by_digest = cut(dealt_join(placed, named, ["root"], "digest").select("digest", "component_id", F.col("rows").alias("count")))

@@ -4,9 +4,11 @@ Texts are sets of XXH64 values of five-word shingles; two are near-duplicates if
 of their union. SimHash comes first: the majority fingerprints of the sets meet in the buckets of `simhash`, where the
 pivot table and the popcount leave a forest of the links of at most four bits. Fingerprints miss most pairs of 0.8 to
 0.95, so prefix filtering finds every pair that is left: with all shingles in one order, the first
-n - ceil(0.8 n) + 1 of two similar sets have one in common. The order puts shingles that are frequent in a sample last,
-which keeps the buckets small; any order gives the same result. Candidates are compared by their sizes and places.
-Pairs of either kind are verified on the whole sets.
+n - ceil(0.8 n) + 1 of two similar sets have one in common. The order puts long shingles first and those that are frequent
+in a sample last. Those that then begin more than CROWDED sets go last too, and the sets that they begin are ordered again.
+Any order gives the same result, but a passage in a fixed share of the texts makes pairs that grow with the square of the
+table where it stays in front. Candidates are compared by their sizes and places, then by sketches of a bit or two a shingle:
+the bits in which two differ are at most the shingles that only one of the sets has. What is left is verified on the whole sets.
 
 The pairs of fingerprints and the neighbours in a bucket are verified first and their links contracted; then every
 candidate pair that no link connects yet is verified, so large classes of copies don't list all their pairs.
@@ -23,18 +25,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import cut, dealt_join, fresh, held, one_of_each, raw, slices, trim
+from barline.llm.common import chain, cut, dealt_join, fresh, held, one_of_each, raw, slices, trim
 from barline.llm.components import components
 from barline.llm.simhash import RADIUS, _shingle_hashes, links, majority
 
 SHINGLE, PERCENT = 5, 80
 SAMPLE, FREQUENT, MAX_FREQUENT, PAIRS_AT_ONCE, HASHES_AT_ONCE, PLACES = 10_000, 3, 1 << 18, 50_000, 200_000, (1 << 24) - 3
+CROWDED, MAX_CROWDED = 8, 1 << 20
 
 
 def _distinct(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.array(_shingle_hashes(text, shingle), dtype=np.uint64))
 
 
+def _distinct_by_length(text: bytes | None, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, and their places in the order of length, longest first, then of hash."""
+    own, at = np.unique(np.array(_shingle_hashes(text, shingle), dtype=np.uint64), return_index=True)
+    ends = np.cumsum([0, *map(len, (text or b"").split())])
+    lengths = ends[shingle:] - ends[:-shingle] if len(ends) > shingle else ends[-1:]
+    return own, np.argsort(-lengths[at], kind="stable")
+
+
 def _sample_batches(shingle: int):
     def run(batches):
         held("similar", "", dict)
@@ -59,37 +70,126 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return majority(np.concatenate([*sets, np.empty(0, np.uint64)]), np.array([len(x) for x in sets], np.int64))
 
 
+def ordered_prefix(text: bytes | None, late: np.ndarray, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of a text and the first of them, in the order that has those of late, sorted, last."""
+    own, order = _distinct_by_length(text, shingle)
+    n, ordered = len(own), own[order]
+    if len(late) and n:
+        last = _among(ordered, late)
+        ordered = np.concatenate((ordered[~last], ordered[last]))
+    return own, ordered[: n + (-n * percent // 100) + 1 if n else 0].view(np.int64)
+
+
+def sketch(own: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of the hashes are i modulo the number of bits, a power of two from 64 and len(own) on."""
+    size = max(64, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(n: int, a: bytes, m: int, b: bytes, percent: int) -> bool:
+    """False only if sets of n and m hashes with sketches a and b share less than percent of their union."""
+    size = min(len(a), len(b))
+    x = y = 0
+    for at in range(0, len(a), size):
+        x ^= int.from_bytes(a[at : at + size], "little")
+    for at in range(0, len(b), size):
+        y ^= int.from_bytes(b[at : at + size], "little")
+    return (x ^ y).bit_count() <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
+def _sketch_batches(percent: int):
+    """The pairs (a, b) of rows (a, b, n_a, sketch_a, n_b, sketch_b) whose sketches leave them."""
+
+    def run(batches):
+        for batch in batches:
+            good = [may_be_similar(*x, percent) for x in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _lists(prefixes: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)])))
+
+
 def _prefix_batches(shared, shingle: int, percent: int):
     def run(batches):
         held("similar", "", dict)
         often = shared.value
         for batch in slices(batches):
-            digests, sizes, prefixes, prints, kept, held_back = [], [], [], [], [], 0
+            digests, sizes, prefixes, sketches, prints, kept, held_back = [], [], [], [], [], [], 0
             for text in raw(batch, 2):
-                own = _distinct(text, shingle)
-                n = len(own)
-                if len(often) and n:
-                    late = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
-                    ordered = np.concatenate((own[~late], own[late]))
-                else:
-                    ordered = own
+                own, prefix = ordered_prefix(text, often, shingle, percent)
                 digests.append(xxhash.xxh64_intdigest(own.tobytes()))
-                sizes.append(n)
+                sizes.append(len(own))
                 kept.append(own)
-                held_back += n
+                held_back += len(own)
                 if held_back > HASHES_AT_ONCE:
                     prints.append(fingerprints(kept))
                     kept, held_back = [], 0
-                prefixes.append(ordered[: n + (-n * percent // 100) + 1 if n else 0].view(np.int64))
+                prefixes.append(prefix)
+                sketches.append(sketch(own))
             prints.append(fingerprints(kept))
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes])))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes)))
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.concatenate(prints).view(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "code", "digest", "n", "fp", "prefix"])
+            cols = [batch.column(0), batch.column(1), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.concatenate(prints).view(np.int64)), pa.array(sketches, pa.binary()), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "code", "digest", "n", "fp", "sketch", "prefix"])
 
     return run
 
 
+def crowded(sets: DataFrame, limit: int) -> np.ndarray:
+    """Sorted hashes in the prefixes of more than limit of sets(prefix); the most frequent MAX_CROWDED, if there are more."""
+    found = sets.select(F.explode("prefix").alias("h")).groupBy("h").count().where(F.col("count") > limit)
+    found = found.orderBy(F.desc("count"), "h").limit(MAX_CROWDED).select("h").toArrow()
+    return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _crowd_batches(shared, inside: bool):
+    """The rows (node, n, prefix) whose prefix has a hash of the crowd, or those whose prefix has none."""
+
+    def run(batches):
+        held("similar", "", dict)
+        crowd = shared.value
+        for batch in slices(batches):
+            lists = batch.column(2)
+            seen = np.concatenate(([0], np.cumsum(_among(lists.flatten().to_numpy().view(np.uint64), crowd))))
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            yield batch.filter(pa.array((seen[ends[1:]] > seen[ends[:-1]]) == inside))
+
+    return run
+
+
+def _again_batches(shared, shingle: int, percent: int):
+    def run(batches):
+        late = shared.value
+        for batch in slices(batches):
+            both = [ordered_prefix(t, late, shingle, percent) for t in raw(batch, 1)]
+            cols = [batch.column(0), pa.array([len(own) for own, _ in both], pa.int32()), _lists([prefix for _, prefix in both])]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "n", "prefix"])
+
+    return run
+
+
+def thinned(sets: DataFrame, rows: DataFrame, often: np.ndarray, shingle: int, percent: int, limit: int | None = None) -> DataFrame:
+    """sets(node, n, prefix) with the prefixes of the order that has crowded hashes last, too; rows(code, text) has the texts of all nodes.
+
+    Prefixes without a crowded hash stay as they are, as what moves stands behind them.
+    """
+    sc, crowd = sets.sparkSession.sparkContext, crowded(sets, limit or CROWDED)
+    if not len(crowd):
+        return sets
+    shared, late, kind = sc.broadcast(crowd), sc.broadcast(np.union1d(often, crowd)), "node long, n int, prefix array<long>"
+    hit = cut(sets.mapInArrow(_crowd_batches(shared, True), kind).select("node"))
+    steps = chain(_marked_batches(sc.broadcast(bitmap(hit))), _again_batches(late, shingle, percent))
+    again = rows.select("code", "text").mapInArrow(steps, kind).join(hit, "node", "left_semi").dropDuplicates(["node"])
+    return sets.mapInArrow(_crowd_batches(shared, False), kind).unionByName(again)
+
+
 def _by_key(batches, use):
     """use() on the columns of all rows of some keys at a time; batches come sorted by key, their first column."""
     held("similar", "", dict)
@@ -205,20 +305,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("code"), F.col(text_col).alias("text"))
     kind, sc = rows.schema["id"].dataType.simpleString(), docs.sparkSession.sparkContext
-    often = sc.broadcast(frequent(rows, shingle))
-    own = cut(rows.mapInArrow(_prefix_batches(often, shingle, percent), f"id {kind}, code long, digest long, n int, fp long, prefix array<long>"))
+    often = frequent(rows, shingle)
+    own = cut(rows.mapInArrow(_prefix_batches(sc.broadcast(often), shingle, percent), f"id {kind}, code long, digest long, n int, fp long, sketch binary, prefix array<long>"))
     # equal sets are one node, told by the hash of one of their texts
-    sets = own.groupBy("digest").agg(F.min("code").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keyed = sets.select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", "at")
+    first = [F.first(c).alias(c) for c in ("n", "fp", "sketch", "prefix")]
+    sets = cut(own.groupBy("digest").agg(F.min("code").alias("node"), *first).drop("digest"))
+    keyed = thinned(sets.select("node", "n", "prefix"), rows, often, shingle, percent).select("node", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "n", "at")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
     shared = cut(keyed.mapInArrow(_shared_batches, "key long, node long, n int, at int"))
 
-    nodes = cut(own.groupBy("digest").agg(F.min("code").alias("node"), F.first("fp").alias("fp")).select("node", "fp"))
+    nodes = cut(sets.select("node", "fp"))
+    own = cut(own.select("id", "code", "digest"))
 
     def similar(of: DataFrame, near: bool) -> DataFrame:
         spread = of.repartition("key").sortWithinPartitions("key")
         pairs = spread.mapInArrow(_pair_batches(percent, near), "a long, b long")
         pairs = cut((pairs.unionByName(fingerprint_pairs(nodes)) if near else pairs).distinct())
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        known = cut(sets.select("node", "n", "sketch").join(ends, "node", "left_semi"))
+        of_a, of_b = (known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+        told = pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+        pairs = cut(told.mapInArrow(_sketch_batches(percent), "a long, b long"))
         ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         texts = rows.select("code", "text").mapInArrow(_marked_batches(sc.broadcast(bitmap(ends))), "node long, text string")
         texts = texts.dropDuplicates(["node"]).join(ends, "node", "left_semi")

@@ -72,11 +72,11 @@ def _param(config: SupplyConfig | None, name: str):
     return F.lit(getattr(config, name)) if config is not None else F.col(f"cfg.{name}")
 
 
-def score(bars: DataFrame, length: int = 50, bias: str | None = None, config: SupplyConfig | None = SupplyConfig()) -> DataFrame:
+def score(bars: DataFrame, length: int = 50, bias: str | None = None, config: SupplyConfig | None = SupplyConfig(), tanh=F.tanh) -> DataFrame:
     """Keys and id of each bar with the score, stage, factors and atoms of the window of `length` bars that it ends.
 
     bias: a column of zone reaction between -1 and 1. config=None takes the parameters of each row from its column
-    cfg, a struct, as overlay() makes it.
+    cfg, a struct, as overlay() makes it. tanh: the function of a column that the volatility adjustment takes.
     """
     order = W.partitionBy(*KEYS).orderBy("id")
     w = order.rowsBetween(-(length - 1), 0)
@@ -153,7 +153,7 @@ def score(bars: DataFrame, length: int = 50, bias: str | None = None, config: Su
             "dominance": S.clamp((c("a") + c("b") + c("c")) / 3, -1, 1),
             "efficiency": S.clamp((c("d") + c("e") + c("f")) / 3, -1, 1),
             "sustainability": S.clamp(1 - (F.greatest("g", F.lit(0.0)) + F.greatest("h", F.lit(0.0)) + F.greatest("i", F.lit(0.0))) / 3, 0, 1),
-            "volatility_adjustment": S.clamp(1 - F.tanh(c("_total") / (c("_n") + 1)), 0, 1),
+            "volatility_adjustment": S.clamp(1 - tanh(c("_total") / (c("_n") + 1)), 0, 1),
         }
     )
     size = F.abs("score")
